@@ -84,3 +84,48 @@ def gapless(df: DataFrame, group: list[str], by: list[str], out: str, total: int
     numbered = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*group, b).orderBy(*by)) - 1)
     joined = numbered.join(offsets, [*group, b])
     return joined.withColumn(out, F.col(out) + F.col(off)).drop(b, off)
+
+
+def only(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``; wide rows that are not are dropped before any shuffle."""
+    return passing(df, key, membership_filter(ids, key, bits), bits).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; rows that a bitmap clears are not shuffled."""
+    bitmap = membership_filter(ids, key, bits)
+    clear = passing(df, key, bitmap, bits, negate=True)
+    doubtful = passing(df, key, bitmap, bits).join(ids.select(key).distinct(), key, "left_anti")
+    return clear.unionByName(doubtful.select(clear.columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``(a, b)`` links between long ids: rows ``(node, label)``, label the least id.
+
+    Large-star and small-star steps alternate until nothing changes.  A star step
+    is a grouped minimum and a join on the node, so a node of any degree is
+    combined before the shuffle and its rows can be split; each round is cut into
+    the checkpoint folder, and no links reach the driver.
+    """
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        around = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        linked = around.join(least, "a")
+        if large:
+            moved = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            moved = linked.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
+        return moved.where("a <> b").distinct()
+
+    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = sign(now)
+    while before[0]:
+        now = cut(star(star(now, True), False))
+        if (after := sign(now)) == before:
+            break
+        before = after
+    roots = now.select(F.col("b").alias("node")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
