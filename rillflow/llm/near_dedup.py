@@ -8,11 +8,13 @@
    s^DEPTH, all but 0.59^28 (4e-7) of the pairs at 0.8 share one or more.
 2. Documents with one set form a class with a representative; the rest works on
    representatives, so copies cost nothing further.
-3. Lists generate overlaps, but never all pairs: each list links its members to one
-   member chosen by hash, other lists choose others.  Linked sets are merged into
-   components, and only members of one list in different components are paired.
-4. The union-sketch estimate drops pairs far below the threshold, and exact
-   Jaccard on full shingle sets decides about the others.
+3. Lists generate overlaps.  First each list links its members to one of them, chosen
+   by hash, so other lists choose others; what is linked is merged into components.
+   Then only pairs of one list in different components are looked at, inside blocks
+   of lists and in numpy: a pair becomes a row only if it passes the estimate.
+4. The union-sketch estimate drops pairs below the threshold with a wide margin (it is
+   exact for sets that a sketch holds whole), and exact Jaccard on full shingle sets
+   decides about the others.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import components, cut, only
+from rillflow.llm.common import components, cut, only, without
 from rillflow.llm.words import U, Words, combine, mix, shingles, slices
 
 RUNS, DEPTH = 28, 4
-SKETCH = 32
-#: Of the 32 lowest values of a union, so many must be common: 0.8 of them are expected, fewer than 12 come with a probability of 1e-8.
-LEAST_COMMON = 12
-HUB_ROUNDS = 2
+#: Values in a sketch.  Of the lowest 192 of a union, 154 are expected to be common at 0.8, and
+#: fewer than 0.656 of them (126) come with a probability of 4e-7.
+SKETCH, MARGIN = 192, 0.82
+#: Members of a list that are looked at together; a longer list is dealt to pairs of blocks.
+BLOCK = 1024
+HUB_ROUNDS = 1
+_PAD = np.uint32(0xFFFFFFFF)
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,27 +71,113 @@ def _sketch(width: int):
             kept = rank < DEPTH
             weighed = mix(h[kept] + rank[kept].astype(U))
             kept_starts = np.flatnonzero(rank[kept] == 0)
-            runs = combine(np.add.reduceat(weighed, kept_starts), group[starts].astype(U) % U(RUNS)).view(np.int64) if len(starts) else np.zeros(0, np.int64)
-            per_doc = np.bincount(doc[starts], minlength=m)
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(per_doc)).astype(np.int32), runs)
+            runs = np.zeros((m, RUNS), np.int64)
+            if len(starts):
+                runs.reshape(-1)[group[starts]] = combine(np.add.reduceat(weighed, kept_starts), group[starts].astype(U) % U(RUNS)).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, (m + 1) * RUNS, RUNS, dtype=np.int32), runs.reshape(-1))
             order = np.lexsort((h, doc))
-            low, bounds = h[order], np.append(0, np.cumsum(n))
+            low, bounds = (h[order] >> U(32)).astype(np.uint32), np.append(0, np.cumsum(n))
             sketches = [low[a : min(b, a + SKETCH)].tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids[0]), pa.array(ids[1]), lists, pa.array(sketches, pa.binary())], schema=schema)
 
     return run
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows, padded."""
+    m = np.full((len(sketches), SKETCH), _PAD)
+    for i, x in enumerate(sketches):
+        row = np.frombuffer(x, np.uint32)
+        m[i, : len(row)] = row
+    return m
+
+
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches (rows of a and b, of sets of na and nb shingles) can be similar enough."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 8192):
+        x, n1, n2 = np.sort(np.concatenate([a[at : at + 8192], b[at : at + 8192]], axis=1), axis=1), na[at : at + 8192], nb[at : at + 8192]
+        whole = (n1 <= SKETCH) & (n2 <= SKETCH)
+        again = (x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _PAD)
+        rank = np.cumsum(np.concatenate([x[:, :1] != _PAD, ~again & (x[:, 1:] != _PAD)], axis=1), axis=1, dtype=np.int32)
+        limit = np.where(whole, 2 * SKETCH, SKETCH)
+        common = (again & (rank[:, 1:] <= limit[:, None])).sum(axis=1)
+        union = np.minimum(rank[:, -1], limit)
+        out[at : at + 8192] = 100 * common >= np.where(whole, percent, percent * MARGIN) * union
+    return out
+
+
+def _estimate(percent: int):
     """Pairs whose union sketch has enough common values."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist()):
-            p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-            union = np.union1d(p, q)[:SKETCH]
-            common = len(np.intersect1d(np.intersect1d(p, q, assume_unique=True), union, assume_unique=True))
-            keep.append(common * SKETCH >= LEAST_COMMON * len(union))
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {k: batch.column(k) for k in ("sx", "sy", "nx", "ny")}
+            ok = likely(_matrix(c["sx"].to_pylist()), _matrix(c["sy"].to_pylist()), c["nx"].to_numpy(), c["ny"].to_numpy(), percent)
+            yield batch.select(["x", "y"]).filter(pa.array(ok))
+
+    return run
+
+
+def _list_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs of one block (or pair of blocks) of a list whose members are in different components.
+
+    A pair that several lists share is looked at in the list of its first common run only.
+    """
+    get = lambda k: rows.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+    x, label, n, own, run = get("x"), get("label"), get("n"), get("own"), get("run")[0]
+    bi, bj = get("bi")[0], get("bj")[0]
+    runs = np.asarray(rows.column("runs").combine_chunks().flatten()).reshape(-1, RUNS)
+    left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+    found = []
+    for i in left:
+        j = right[(x[right] > x[i]) if bi == bj else (x[right] != x[i])]
+        j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
+        if len(j):
+            same = (runs[j] == runs[i]) & (runs[j] != 0)
+            j = j[runs[i][same.argmax(axis=1)] == run]
+            found.append((np.full(len(j), i), j))
+    if not found:
+        return x[:0], x[:0]
+    p, q = (np.concatenate(c) for c in zip(*found))
+    used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+    m = _matrix(rows.column("sketch").combine_chunks().take(pa.array(used)).to_pylist())
+    ok = np.zeros(len(p), bool)
+    for at in range(0, len(p), 65536):
+        k = slice(at, at + 65536)
+        ok[k] = likely(m[back[: len(p)][k]], m[back[len(p) :][k]], n[p[k]], n[q[k]], percent)
+    return x[p[ok]], x[q[ok]]
+
+
+def _blocks(percent: int):
+    """Rows sorted by list and block: whole groups are looked at, the last of a batch waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            a, b = _list_pairs(table, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            key = np.column_stack([batch.column(k).to_numpy() for k in ("run", "bi", "bj")])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            if held and tuple(held[0].column(k)[0].as_py() for k in ("run", "bi", "bj")) != tuple(key[0].tolist()):
+                yield from done(pa.concat_tables(held))
+                held = []
+            for a, b in zip(cuts, cuts[1:]):
+                held.append(table.slice(a, b - a))
+                if b < len(key):
+                    yield from done(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield from done(pa.concat_tables(held))
+
+    return run
 
 
 def _verify(width: int, percent: int):
@@ -123,44 +214,49 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = cut(member)
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     known = sketched.join(reps, "doc_id", "left_semi")
-    lists = cut(known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run")).distinct())
-    sketches = sketched.select("doc_id", "sketch")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
-        near = only(sketches, "doc_id", ids)
-        guessed = pairs.join(near.toDF("x", "sx"), "x").join(near.toDF("y", "sy"), "y").select("x", "y", "sx", "sy").mapInArrow(_estimate, "x long, y long")
-        guessed = cut(guessed)
+    lists = cut(known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run")).where("run <> 0").distinct())
+    sketches = sketched.select("doc_id", "n", "sketch")
+
+    def exact(guessed: DataFrame) -> DataFrame:
         ids = guessed.select(F.explode(F.array("x", "y")).alias("doc_id"))
         full = only(texts, "doc_id", ids)
         found = guessed.join(full.toDF("x", "tx"), "x").join(full.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
         return cut(found.mapInArrow(_verify(width, percent), "x long, y long").toDF("a", "b"))
 
     edges, label = member.where("doc_id <> rep").toDF("a", "b"), None
-    tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        at = lists.withColumn("label", F.col("x")) if label is None else lists.join(label.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        open_ = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("x", F.xxhash64("run", "x", F.lit(turn))).alias("y")).where("lo <> hi")
-        at = at.join(open_.select("run", "y"), "run")
-        if turn < HUB_ROUNDS:
-            hubs = at.select(F.col("x").alias("y"), F.col("label").alias("other")).distinct()
-            pairs = at.where("x <> y").select("x", "y", "label").distinct().join(hubs, "y").where("label <> other")
-        else:
-            at = cut(at.select("run", "x", "label"))
-            pairs = at.join(at.select("run", F.col("x").alias("y"), F.col("label").alias("other")), "run").where("x < y and label <> other")
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(linked(pairs))
+    for turn in range(HUB_ROUNDS):
+        at = _labelled(lists, label)
+        hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64("run", "x", F.lit(turn))).alias("hub")).where("lo <> hi")
+        pairs = at.join(hubs.select("run", "hub.*"), "run").where("label <> other")
+        pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        near = only(sketches, "doc_id", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")))
+        both = pairs.join(near.toDF("x", "nx", "sx"), "x").join(near.toDF("y", "ny", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
+        edges = edges.unionByName(exact(cut(both.mapInArrow(_estimate(percent), "x long, y long"))))
         label = components(edges)
+
+    at = _labelled(lists, label)
+    open_ = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = at.join(open_.select("run", blocks.alias("blocks")), "run").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj")))
+    dealt = members.select("run", "x", "label", "own", F.inline(meets))
+    wide = dealt.join(known.select(F.col("doc_id").alias("x"), "n", "runs", "sketch").dropDuplicates(["x"]), "x")
+    sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
+    guessed = sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct()
+    label = components(edges.unionByName(exact(cut(guessed))))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Lists with the component of each member, itself where it has no link."""
+    if label is None:
+        return lists.withColumn("label", F.col("x"))
+    return lists.join(label.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the least id.  Rows with a null id stay."""
     found = near_components(docs, id_col, text_col, width, percent)
-    from rillflow.llm.common import without
-
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
     return without(docs, id_col, cut(gone))
