@@ -33,6 +33,9 @@ RUNS, DEPTH = 28, 4
 #: Values in a sketch.  Of the lowest 192 of a union, 154 are expected to be common at 0.8, and
 #: fewer than 0.656 of them (126) come with a probability of 4e-7.
 SKETCH, MARGIN = 192, 0.82
+#: Links to a list's chosen member are many and narrow: 64 values each, 51 expected, fewer than 36 with a probability of 5e-6;
+#: what they miss the last round still looks at.
+HUB_SKETCH, HUB_MARGIN = 64, 0.7
 #: Members of a list that are looked at together; a longer list is dealt to pairs of blocks.
 BLOCK = 1024
 HUB_ROUNDS = 1
@@ -83,27 +86,27 @@ def _sketch(width: int):
     return run
 
 
-def _matrix(sketches: list[bytes]) -> np.ndarray:
+def _matrix(sketches: list[bytes], size: int = SKETCH) -> np.ndarray:
     """Sketches as rows, padded."""
-    m = np.full((len(sketches), SKETCH), _PAD)
+    m = np.full((len(sketches), size), _PAD)
     for i, x in enumerate(sketches):
         row = np.frombuffer(x, np.uint32)
         m[i, : len(row)] = row
     return m
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, margin: float = MARGIN) -> np.ndarray:
     """Which pairs of sketches (rows of a and b, of sets of na and nb shingles) can be similar enough."""
-    out = np.zeros(len(a), bool)
+    out, size = np.zeros(len(a), bool), a.shape[1]
     for at in range(0, len(a), 8192):
         x, n1, n2 = np.sort(np.concatenate([a[at : at + 8192], b[at : at + 8192]], axis=1), axis=1), na[at : at + 8192], nb[at : at + 8192]
-        whole = (n1 <= SKETCH) & (n2 <= SKETCH)
+        whole = (n1 <= size) & (n2 <= size)
         again = (x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _PAD)
         rank = np.cumsum(np.concatenate([x[:, :1] != _PAD, ~again & (x[:, 1:] != _PAD)], axis=1), axis=1, dtype=np.int32)
-        limit = np.where(whole, 2 * SKETCH, SKETCH)
+        limit = np.where(whole, 2 * size, size)
         common = (again & (rank[:, 1:] <= limit[:, None])).sum(axis=1)
         union = np.minimum(rank[:, -1], limit)
-        out[at : at + 8192] = 100 * common >= np.where(whole, percent, percent * MARGIN) * union
+        out[at : at + 8192] = 100 * common >= np.where(whole, percent, percent * margin) * union
     return out
 
 
@@ -113,7 +116,7 @@ def _estimate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {k: batch.column(k) for k in ("sx", "sy", "nx", "ny")}
-            ok = likely(_matrix(c["sx"].to_pylist()), _matrix(c["sy"].to_pylist()), c["nx"].to_numpy(), c["ny"].to_numpy(), percent)
+            ok = likely(_matrix(c["sx"].to_pylist(), HUB_SKETCH), _matrix(c["sy"].to_pylist(), HUB_SKETCH), c["nx"].to_numpy(), c["ny"].to_numpy(), percent, HUB_MARGIN)
             yield batch.select(["x", "y"]).filter(pa.array(ok))
 
     return run
@@ -215,7 +218,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     known = sketched.join(reps, "doc_id", "left_semi")
     lists = cut(known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run")).where("run <> 0").distinct())
-    sketches = sketched.select("doc_id", "n", "sketch")
+    sketches = sketched.select("doc_id", "n", F.substring("sketch", 1, 4 * HUB_SKETCH).alias("sketch"))
 
     def exact(guessed: DataFrame) -> DataFrame:
         ids = guessed.select(F.explode(F.array("x", "y")).alias("doc_id"))
@@ -239,8 +242,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = at.join(open_.select("run", blocks.alias("blocks")), "run").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj")))
-    dealt = members.select("run", "x", "label", "own", F.inline(meets))
-    wide = dealt.join(known.select(F.col("doc_id").alias("x"), "n", "runs", "sketch").dropDuplicates(["x"]), "x")
+    dealt = cut(members.select("run", "x", "label", "own", F.inline(meets)))
+    payload = only(sketched.select(F.col("doc_id").alias("x"), "n", "runs", "sketch"), "x", dealt).dropDuplicates(["x"])
+    wide = dealt.join(payload, "x")
     sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
     guessed = sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct()
     label = components(edges.unionByName(exact(cut(guessed))))
