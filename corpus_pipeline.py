@@ -26,7 +26,10 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from rillflow.llm.line_dedup import line_dedup
 
-    return line_dedup(docs).select(docs.columns)
+    # a document all of whose text stands in earlier ones goes; one that came empty stays
+    done = line_dedup(docs, removed_col="rf_removed")
+    emptied = (F.col("rf_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x20]")
+    return done.where(~emptied).select(docs.columns)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
