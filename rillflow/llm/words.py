@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Texts are worked on in slices of about so many bytes, whatever the Arrow batch.
-SLICE_BYTES = 4 << 20
+#: Texts are worked on in slices of about so many bytes, whatever the Arrow batch; a worker's arrays take some 100 times that.
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -44,7 +44,7 @@ _POWERS: dict = {}
 def _power_pair(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the lane's odd base and of its inverse modulo 2^64."""
     if len(_POWERS.get(lane, ((),))[0]) < n:
-        base = int(_ODD[lane])
+        base, n = int(_ODD[lane]), (n + (1 << 18) - 1 >> 18) << 18  # in steps, so that slices of about one size share a table
         _POWERS[lane] = (powers(U(base), n), powers(U(pow(base, -1, 1 << 64)), n))
     return _POWERS[lane]
 
