@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are worked on in slices of about so many bytes, whatever the Arrow batch; a worker's arrays take some 100 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -44,7 +45,7 @@ _POWERS: dict = {}
 def _power_pair(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the lane's odd base and of its inverse modulo 2^64."""
     if len(_POWERS.get(lane, ((),))[0]) < n:
-        base, n = int(_ODD[lane]), (n + (1 << 18) - 1 >> 18) << 18  # in steps, so that slices of about one size share a table
+        base, n = int(_ODD[lane]), (n + (1 << 16) - 1 >> 16) << 16  # in steps, so that slices of about one size share a table
         _POWERS[lane] = (powers(U(base), n), powers(U(pow(base, -1, 1 << 64)), n))
     return _POWERS[lane]
 
@@ -107,8 +108,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = pa.array(batch.column(text), pa.large_string())
-        size = np.diff(np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1])
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(size) - size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
