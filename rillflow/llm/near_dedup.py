@@ -111,10 +111,12 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
 
 
 def _estimate(percent: int):
-    """Pairs whose union sketch has enough common values."""
+    """Pairs of sets near enough in size whose union sketch has enough common values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nx, ny = (batch.column(k).to_numpy() for k in ("nx", "ny"))
+            batch = batch.filter(pa.array(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent))
             c = {k: batch.column(k) for k in ("sx", "sy", "nx", "ny")}
             ok = likely(_matrix(c["sx"].to_pylist(), HUB_SKETCH), _matrix(c["sy"].to_pylist(), HUB_SKETCH), c["nx"].to_numpy(), c["ny"].to_numpy(), percent, HUB_MARGIN)
             yield batch.select(["x", "y"]).filter(pa.array(ok))
@@ -221,8 +223,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = sketched.select("doc_id", "n", F.substring("sketch", 1, 4 * HUB_SKETCH).alias("sketch"))
 
     def exact(guessed: DataFrame) -> DataFrame:
-        ids = guessed.select(F.explode(F.array("x", "y")).alias("doc_id"))
-        full = only(texts, "doc_id", ids)
+        full = only(texts, "doc_id", _ends(guessed))
         found = guessed.join(full.toDF("x", "tx"), "x").join(full.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
         return cut(found.mapInArrow(_verify(width, percent), "x long, y long").toDF("a", "b"))
 
@@ -232,7 +233,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64("run", "x", F.lit(turn))).alias("hub")).where("lo <> hi")
         pairs = at.join(hubs.select("run", "hub.*"), "run").where("label <> other")
         pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        near = only(sketches, "doc_id", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")))
+        near = only(sketches, "doc_id", _ends(pairs))
         both = pairs.join(near.toDF("x", "nx", "sx"), "x").join(near.toDF("y", "ny", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
         edges = edges.unionByName(exact(cut(both.mapInArrow(_estimate(percent), "x long, y long"))))
         label = components(edges)
@@ -252,6 +253,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids in pairs, written once: the filter and the join that use them both read them."""
+    return cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+
+
 def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     """Lists with the component of each member, itself where it has no link."""
     if label is None:
