@@ -38,6 +38,8 @@ SKETCH, MARGIN = 192, 0.82
 HUB_SKETCH, HUB_MARGIN = 64, 0.7
 #: Members of a list that are looked at together; a longer list is dealt to pairs of blocks.
 BLOCK = 1024
+#: Pairs whose sketches are compared at once: some 30 MB of arrays.
+STEP = 2048
 HUB_ROUNDS = 1
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -98,15 +100,16 @@ def _matrix(sketches: list[bytes], size: int = SKETCH) -> np.ndarray:
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, margin: float = MARGIN) -> np.ndarray:
     """Which pairs of sketches (rows of a and b, of sets of na and nb shingles) can be similar enough."""
     out, size = np.zeros(len(a), bool), a.shape[1]
-    for at in range(0, len(a), 8192):
-        x, n1, n2 = np.sort(np.concatenate([a[at : at + 8192], b[at : at + 8192]], axis=1), axis=1), na[at : at + 8192], nb[at : at + 8192]
+    for at in range(0, len(a), STEP):
+        k = slice(at, at + STEP)
+        x, n1, n2 = np.sort(np.concatenate([a[k], b[k]], axis=1), axis=1), na[k], nb[k]
         whole = (n1 <= size) & (n2 <= size)
         again = (x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _PAD)
         rank = np.cumsum(np.concatenate([x[:, :1] != _PAD, ~again & (x[:, 1:] != _PAD)], axis=1), axis=1, dtype=np.int32)
         limit = np.where(whole, 2 * size, size)
         common = (again & (rank[:, 1:] <= limit[:, None])).sum(axis=1)
         union = np.minimum(rank[:, -1], limit)
-        out[at : at + 8192] = 100 * common >= np.where(whole, percent, percent * margin) * union
+        out[k] = 100 * common >= np.where(whole, percent, percent * margin) * union
     return out
 
 
@@ -148,8 +151,8 @@ def _list_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
     m = _matrix(rows.column("sketch").combine_chunks().take(pa.array(used)).to_pylist())
     ok = np.zeros(len(p), bool)
-    for at in range(0, len(p), 65536):
-        k = slice(at, at + 65536)
+    for at in range(0, len(p), STEP):
+        k = slice(at, at + STEP)
         ok[k] = likely(m[back[: len(p)][k]], m[back[len(p) :][k]], n[p[k]], n[q[k]], percent)
     return x[p[ok]], x[q[ok]]
 
