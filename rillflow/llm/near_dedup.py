@@ -38,7 +38,7 @@ SKETCH, MARGIN = 192, 0.82
 HUB_SKETCH, HUB_MARGIN = 64, 0.7
 #: Members of a list that are looked at together; a longer list is dealt to pairs of blocks.
 BLOCK = 1024
-#: Pairs whose sketches are compared at once: some 30 MB of arrays.
+#: Pairs whose sketches are compared at once, in arrays of 3 MB each.
 STEP = 2048
 HUB_ROUNDS = 1
 _PAD = np.uint32(0xFFFFFFFF)
@@ -192,7 +192,7 @@ def _verify(width: int, percent: int):
     """Pairs with 100 * intersection >= percent * union on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "tx", 2 << 20):
+        for batch in slices(batches, "tx"):
             sets = []
             for side in ("tx", "ty"):
                 h, doc, _ = _sets(pa.RecordBatch.from_arrays([batch.column(side)], ["text"]), width)
