@@ -16,15 +16,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, membership_filter, passing
 
 #: Lines of fewer words are no evidence of an overlap; nor is a block of fewer words deleted.
 LINE_WORDS, BLOCK_WORDS = 5, 5
-#: A line held by at most so many documents is rare.
-RARE = 20
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -82,7 +80,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(out, pa.list_(pa.int32()))], ["rk", "gone"])
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``rk, gone``: for each text that loses lines, its row key and their positions (distinct, from 0)."""
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(F.trim(x), r"[\x20\x09-\x0D]+")).alias("w"))
     keyed = docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n", -1), line).alias("lines"))
@@ -90,8 +88,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = lines.select("rk", "doc_id", F.explode(F.array_distinct("lines")).alias("l")).where(F.col("l.w") >= LINE_WORDS).select("rk", "doc_id", F.col("l.h").alias("h"))
     first = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "rk")).alias("first")).where("df > 1")
     shared = held.join(first, "h").where("first.doc_id < doc_id")
-    rarest = F.min("df").over(Window.partitionBy("rk"))
-    pairs = shared.withColumn("rarest", rarest).where((F.col("df") <= rare) | ((F.col("rarest") > rare) & (F.col("df") == F.col("rarest")))).select("rk", F.col("first.rk").alias("earlier")).distinct()
+    pairs = shared.select("rk", F.col("first.rk").alias("earlier")).distinct()
     later = pairs.join(lines.select("rk", F.col("lines.h").alias("hb"), F.col("lines.w").alias("wb")), "rk")
     both = later.join(lines.select(F.col("rk").alias("earlier"), F.col("lines.h").alias("ha")), "earlier").select("rk", "ha", "hb", "wb")
     found = both.mapInArrow(_align, "rk long, gone array<int>").where(F.size("gone") > 0)
@@ -103,7 +100,7 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, removed_col: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with the lines removed that an earlier document (smaller id) shares in an aligned block.
 
     Lines end at "\\n" and are compared whole.  A document that loses all of its
@@ -112,7 +109,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     don't overlap.  ``removed_col`` names a further column with the number of removed
     lines; ``n_chars``, if there is one, follows the text.
     """
-    gone = cut(removed_lines(docs, id_col, text_col, rare))
+    gone = cut(removed_lines(docs, id_col, text_col))
     keyed = docs.withColumn("rf_rk", row_key(id_col, text_col))
     gone = gone.withColumnRenamed("rk", "rf_rk").withColumnRenamed("gone", "rf_gone")
     bitmap = membership_filter(gone, "rf_rk")

@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 from rillflow.llm import decontamination, quality, warc
-from rillflow.llm.line_dedup import line_dedup, patience
+from rillflow.llm.line_dedup import aligned_blocks, line_dedup, patience
 from rillflow.llm.near_dedup import near_components, near_dedup
 from rillflow.llm.packing import cutting_stock, pack
 from rillflow.llm.substring_dedup import substring_dedup
@@ -125,6 +125,32 @@ def test_line_dedup(spark):
     assert odd.columns == odd_docs(spark).columns and odd.count() == len(TEXTS) + 2 and line_dedup(none(spark)).count() == 0
 
 
+def plain_line_dedup(docs):
+    """``{id: text}`` of (id, text) rows with distinct ids, none null: each shared line followed to its earliest holder."""
+    lines = {i: t.split("\n") for i, t in docs if t is not None}
+    words = {i: [len(word_list(x)) for x in a] for i, a in lines.items()}
+    first = {}
+    for i in sorted(lines):
+        for x, w in zip(lines[i], words[i]):
+            if w >= 5:
+                first.setdefault(x, i)
+    out = dict(docs)
+    for i, b in lines.items():
+        earlier = {first[x] for x in b if first.get(x, i) < i}
+        gone = {k for a in earlier for k in aligned_blocks(lines[a], b, words[i])}
+        out[i] = "\n".join(x for k, x in enumerate(b) if k not in gone)
+    return out
+
+
+def test_line_dedup_common_lines(spark):
+    line = lambda k: f"this is line number {k} of the text"
+    own = lambda i, k: f"document {i} has its own line {k} here"
+    rows = [(i, "\n".join([own(i, 0), line("a") if i < 30 else own(i, 1), own(i, 2), line("b") if i > 20 else own(i, 3)])) for i in range(1, 60)]
+    rows += [(70, "\n".join([own(1, 2), own(70, 0), line("a"), own(70, 1), line("b"), own(70, 2)])), (71, "\n".join([line("a"), own(71, 0), line("b")]))]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[70] == "\n".join(own(70, k) for k in range(3)) and got[71] == own(71, 0) and got == plain_line_dedup(rows)
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     items = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, "")], "item_id long, text string")
