@@ -1,6 +1,7 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a line's hash.  Every shared line leads to its
+Documents overlap if they share a line's hash, or that of a run of shorter lines
+which has as many words together.  Every shared line or run leads to its
 earliest holder only, so a line in a million documents makes a million links, not
 their square.  A document follows its rare lines (held by few documents); one
 without any follows its rarest, so copies of a text in any number are still found.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, membership_filter, passing
 
-#: Lines of fewer words are no evidence of an overlap; nor is a block of fewer words deleted.
+#: Lines and runs of lines of fewer words are no evidence of an overlap; nor is a block of fewer words deleted.
 LINE_WORDS, BLOCK_WORDS = 5, 5
 
 
@@ -80,12 +81,34 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(out, pa.list_(pa.int32()))], ["rk", "gone"])
 
 
+def _evidence(lines):
+    """Hashes of what makes links: each line, with as many after it, or before it, as have ``LINE_WORDS`` words together.
+
+    Any block of so many words holds one of these runs whole, and each of its lines
+    with words is in one.  Lines without words don't count.
+    """
+
+    def runs(ls):
+        def run(i, step):
+            n, h, out = F.lit(0), [], None
+            for k in range(LINE_WORDS):
+                x = F.get(ls, i + step * k)
+                n, h = n + x["w"], [*h, x["h"]]
+                key = F.xxhash64(*h[::step]) if k else x["h"]
+                out = F.when(n >= LINE_WORDS, key) if out is None else out.when(n >= LINE_WORDS, key)
+            return out
+
+        return F.array_distinct(F.array_compact(F.flatten(F.transform(ls, lambda x, i: F.when(x["w"] >= LINE_WORDS, F.array(x["h"])).otherwise(F.array(run(i, 1), run(i, -1)))))))
+
+    return F.get(F.transform(F.array(F.filter(lines, lambda x: x["w"] > 0)), runs), F.lit(0))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``rk, gone``: for each text that loses lines, its row key and their positions (distinct, from 0)."""
-    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(F.trim(x), r"[\x20\x09-\x0D]+")).alias("w"))
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")).alias("w"))
     keyed = docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n", -1), line).alias("lines"))
     lines = cut(keyed.dropDuplicates(["rk"]).where("lines is not null"))
-    held = lines.select("rk", "doc_id", F.explode(F.array_distinct("lines")).alias("l")).where(F.col("l.w") >= LINE_WORDS).select("rk", "doc_id", F.col("l.h").alias("h"))
+    held = lines.select("rk", "doc_id", F.explode(_evidence(F.col("lines"))).alias("h"))
     first = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "rk")).alias("first")).where("df > 1")
     shared = held.join(first, "h").where("first.doc_id < doc_id")
     pairs = shared.select("rk", F.col("first.rk").alias("earlier")).distinct()

@@ -126,17 +126,20 @@ def test_line_dedup(spark):
 
 
 def plain_line_dedup(docs):
-    """``{id: text}`` of (id, text) rows with distinct ids, none null: each shared line followed to its earliest holder."""
+    """``{id: text}`` of (id, text) rows with distinct ids, none null: each shared line, or run of short ones, followed to its earliest holder."""
     lines = {i: t.split("\n") for i, t in docs if t is not None}
     words = {i: [len(word_list(x)) for x in a] for i, a in lines.items()}
-    first = {}
+    runs, first = {}, {}
     for i in sorted(lines):
-        for x, w in zip(lines[i], words[i]):
-            if w >= 5:
-                first.setdefault(x, i)
+        full = [(x, w) for x, w in zip(lines[i], words[i]) if w]
+        spans = [(a, b) for a in range(len(full)) for b in range(a + 1, min(a + 5, len(full)) + 1)]
+        enough = lambda a, b: sum(w for _, w in full[a:b]) >= 5
+        runs[i] = {tuple(x for x, _ in full[a:b]) for a, b in spans if enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b))}
+        for x in runs[i]:
+            first.setdefault(x, i)
     out = dict(docs)
     for i, b in lines.items():
-        earlier = {first[x] for x in b if first.get(x, i) < i}
+        earlier = {first[x] for x in runs[i] if first[x] < i}
         gone = {k for a in earlier for k in aligned_blocks(lines[a], b, words[i])}
         out[i] = "\n".join(x for k, x in enumerate(b) if k not in gone)
     return out
@@ -151,6 +154,14 @@ def test_line_dedup_common_lines(spark):
     assert got[70] == "\n".join(own(70, k) for k in range(3)) and got[71] == own(71, 0) and got == plain_line_dedup(rows)
 
 
+def test_line_dedup_short_lines(spark):
+    verse = "\n".join(f"verse {k}" if k % 3 else "" for k in range(60))
+    rows = [(1, verse), (2, "a copy of it\n" + verse), (3, "yes"), (4, "no thanks"), (5, "yes\nno thanks\nyes\nwell"), (6, "this one asks again\n \nyes\nno thanks\nyes\nwell\nis it so"), (7, "\n" * 9 + "nine"), (8, "\n" * 9 + "9")]
+    rows += [(9, "a line with many words in it"), (10, "start\na line with many words in it\nthe end"), (11, "other\na line with many words in it\nthe end")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_line_dedup(rows) == dict(rows) | {2: "a copy of it", 6: "this one asks again\n \nis it so", 10: "start\nthe end", 11: "other"}
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     items = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, "")], "item_id long, text string")
