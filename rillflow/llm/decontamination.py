@@ -4,10 +4,10 @@ DataFrame functions only.  Items are partitioned by the size of their shingle se
 (powers of two).  An item that is contained in a document to the degree t lacks at
 most n - ceil(t n) of its n shingles there, so one more than that of its lowest
 MinHash values always hit: each partition keeps that many for its largest n.
-Every shingle of every document is looked up (whole texts, long or short), and a
-pair is a candidate if a sketch value hits.  Exact containment over the item's
-full shingle set then decides.  The lookup is a broadcast join as long as the
-items' shingles are few (counted, not assumed); beyond that a bitmap of fixed size
+Every shingle of every document is looked up in the sketches (whole texts, long or
+short), and a pair is a candidate if a value hits.  For the candidates alone are the
+full shingle sets compared, which decides.  The lookup is a broadcast join as long as
+the sketches' shingles are few (counted, not assumed); beyond that a bitmap of fixed size
 is broadcast instead and only shingles that pass it are shuffled.
 """
 
@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, lower_ascii, membership_filter, passing, without
+from rillflow.llm.common import cut, lower_ascii, membership_filter, only, passing, without
 
-#: Item shingles up to which they are broadcast (about 40 bytes each).
+#: Sketch values up to which they are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 500_000
 
 
@@ -51,6 +51,17 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, width: int, perc
     return rows.withColumn("in_sketch", rank <= keep)
 
 
+def candidates(sets: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Distinct ``doc_id, item_id`` of which the document's ``hs`` hold a sketch value of the item."""
+    rows = sets.select("doc_id", F.explode("hs").alias("h"))
+    values = cut(sketch.where("in_sketch").select("h", "item_id"))
+    if values.count() <= BROADCAST_ROWS:
+        hits = rows.join(F.broadcast(values), "h")
+    else:
+        hits = passing(rows, "h", membership_filter(values, "h", 26), 26).join(values, "h")
+    return hits.select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Pairs ``doc_id, item_id, n_shared, n_item`` with 100 * n_shared >= ``percent`` * n_item.
 
@@ -61,15 +72,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     one document; of items that share an id one is taken; null ids are left out.
     """
     sketch = cut(item_sketches(items, item_id, item_text, width, percent))
-    sets = shingle_hashes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, "doc_id")
-    rows = sets.select("doc_id", F.explode("hs").alias("h"))
-    if sketch.count() <= BROADCAST_ROWS:
-        hits = rows.join(F.broadcast(sketch), "h")
-    else:
-        hits = passing(rows, "h", membership_filter(sketch, "h", 26), 26).join(sketch, "h")
-    pairs = hits.groupBy("doc_id", "item_id", "n_item").agg(F.size(F.collect_set("h")).cast("long").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    exact = pairs.where(F.col("candidate") & (F.col("n_shared") * 100 >= F.col("n_item") * percent))
-    return exact.select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    pairs = cut(candidates(shingle_hashes(texts, "doc_id", "text", width, "doc_id"), sketch))
+    rows = shingle_hashes(only(texts, "doc_id", pairs), "doc_id", "text", width, "doc_id").select("doc_id", F.explode("hs").alias("h")).distinct()
+    # the items' shingles of the candidates, not the documents': those are fewer
+    shared = pairs.join(sketch.select("item_id", "h", "n_item"), "item_id").join(rows, ["doc_id", "h"])
+    counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
+    return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -177,6 +177,16 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(odd_docs(spark), items).count() == len(TEXTS) + 2
 
 
+def test_decontamination_searches_sketches(spark):
+    words = [f"w{k}" for k in range(40)]
+    sketch = decontamination.item_sketches(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), "item_id", "text", 5, 80)
+    marked = {r.h: r.in_sketch for r in sketch.collect()}
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 5])) for k in range(36)], "doc_id long, text string")
+    sets = decontamination.shingle_hashes(docs, "doc_id", "text", 5, "doc_id")
+    want = {r.doc_id for r in sets.collect() if marked[r.hs[0]]}
+    assert 0 < len(want) < 36 and {r.doc_id for r in decontamination.candidates(sets, sketch).collect()} == want
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://www.A.com/x/?b=1&a=2&utm_source=q#f", 100, 200, {"ETag": '"v"', "Content-Type": "t"}), (2, "https://a.com:443/x?a=2&b=1", 5000, 304, {"etag": 'W/"v"', "Cache-Control": "c", "Content-Type": "no"}),
