@@ -40,26 +40,26 @@ def shingle_hashes(df: DataFrame, id_col: str, text_col: str, width: int, out: s
 
 
 def item_sketches(items: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """``item_id, h, n_item, partition, in_sketch``: an item's shingles, the lowest of them marked."""
-    one = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null").dropDuplicates(["item_id"])
-    sets = shingle_hashes(one, "item_id", "text", width, "item_id")
-    rows = sets.withColumn("n_item", F.size("hs")).select("item_id", "n_item", F.explode("hs").alias("h"))
+    """``item, item_id, h, n_item, partition, in_sketch``: the shingles of an item's text, the lowest of them marked; ``item`` is a key of id and text."""
+    one = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null").distinct()
+    sets = shingle_hashes(one.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("text"))), "item", "text", width, "item")
+    rows = sets.withColumn("n_item", F.size("hs")).select("item", F.col("item.item_id").alias("item_id"), "n_item", F.explode("hs").alias("h"))
     rows = rows.withColumn("partition", F.floor(F.log2("n_item")).cast("int"))
     most = F.expr("cast(pow(2, partition + 1) as int) - 1")
     keep = most - F.ceil(most * percent / 100) + 1
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64(F.lit("order"), "h"), "h"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64(F.lit("order"), "h"), "h"))
     return rows.withColumn("in_sketch", rank <= keep)
 
 
 def candidates(sets: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Distinct ``doc_id, item_id`` of which the document's ``hs`` hold a sketch value of the item."""
+    """Distinct ``doc_id, item`` of which the document's ``hs`` hold a sketch value of the item."""
     rows = sets.select("doc_id", F.explode("hs").alias("h"))
-    values = cut(sketch.where("in_sketch").select("h", "item_id"))
+    values = cut(sketch.where("in_sketch").select("h", "item"))
     if values.count() <= BROADCAST_ROWS:
         hits = rows.join(F.broadcast(values), "h")
     else:
         hits = passing(rows, "h", membership_filter(values, "h", 26), 26).join(values, "h")
-    return hits.select("doc_id", "item_id").distinct()
+    return hits.select("doc_id", "item").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -69,16 +69,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ``width`` words long.  An item with fewer words is its whole sequence, found only
     in a document of that very sequence; an item without words is found nowhere, nor
     is anything in a document without words.  Rows that share a document id count as
-    one document; of items that share an id one is taken; null ids are left out.
+    one document; texts that share
+    an item id are searched one by one, and of those found in a document the one with
+    the largest part there is reported; null ids are left out.
     """
     sketch = cut(item_sketches(items, item_id, item_text, width, percent))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pairs = cut(candidates(shingle_hashes(texts, "doc_id", "text", width, "doc_id"), sketch))
     rows = shingle_hashes(only(texts, "doc_id", pairs), "doc_id", "text", width, "doc_id").select("doc_id", F.explode("hs").alias("h")).distinct()
     # the items' shingles of the candidates, not the documents': those are fewer
-    shared = pairs.join(sketch.select("item_id", "h", "n_item"), "item_id").join(rows, ["doc_id", "h"])
-    counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
-    return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
+    shared = pairs.join(sketch.select("item", "item_id", "h", "n_item"), "item").join(rows, ["doc_id", "h"])
+    counted = shared.groupBy("doc_id", "item", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("part"), "n_shared", "n_item")).alias("best")
+    return counted.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shared", F.col("best.n_item").cast("long").alias("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -187,6 +187,14 @@ def test_decontamination_searches_sketches(spark):
     assert 0 < len(want) < 36 and {r.doc_id for r in decontamination.candidates(sets, sketch).collect()} == want
 
 
+def test_decontamination_texts_of_one_item(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    items = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + a), (2, b + " so"), (3, "neither"), (4, a + " " + b)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
+    assert got == [(d, i, 16, 16) for d, i in ((1, 1), (2, 1), (2, 2), (4, 1), (4, 2))]
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://www.A.com/x/?b=1&a=2&utm_source=q#f", 100, 200, {"ETag": '"v"', "Content-Type": "t"}), (2, "https://a.com:443/x?a=2&b=1", 5000, 304, {"etag": 'W/"v"', "Cache-Control": "c", "Content-Type": "no"}),
