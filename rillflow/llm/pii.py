@@ -22,7 +22,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9]))[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+",
 }
 #: A cheap test that holds for every text with a match.
 NEEDS = {
@@ -44,6 +44,12 @@ CONTEXT = {
 BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 CONTEXT_BONUS, CONTEXT_CHARS = 0.1, 40
 
+#: Lengths of the registered countries' IBANs.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -72,6 +78,33 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(positions, F.lit(0), step) == 1
 
 
+def _ibans(run: Column) -> Column:
+    """``a, b``: where IBANs begin and end in a run of upper-case words, the leftmost first; of those that pass the check the one of its country's length, or else the longest."""
+
+    def of_words(ws: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+
+        def step(acc: Column, i: Column) -> Column:
+            w, at = F.get(ws, i), acc["at"]
+            heads = F.transform(F.sequence(F.lit(1), F.least(F.size(ws) - i, F.lit(31))), lambda k: F.array_join(F.slice(ws, i + 1, k), " "))
+            sized = F.filter(heads, lambda h: F.length(F.regexp_replace(h, " ", "")).between(15, 34))
+            good = F.reverse(F.filter(sized, mod97))
+            usual = F.filter(good, lambda h: F.lit(IBAN_LENGTHS).contains(F.concat(F.substring(h, 1, 2), F.length(F.regexp_replace(h, " ", "")).cast("string"))))
+            best = F.when((at >= acc["free"]) & w.rlike("^[A-Z]{2}[0-9]{2}"), F.coalesce(F.get(usual, F.lit(0)), F.get(good, F.lit(0))))
+            after = at + F.length(w) + 1
+
+            def taken(b: Column) -> Column:
+                end = at + F.length(b)
+                found = F.concat(acc["out"], F.array(F.struct(at.alias("a"), end.alias("b"))))
+                return F.struct(after.alias("at"), F.coalesce(end, acc["free"]).alias("free"), F.when(b.isNotNull(), found).otherwise(acc["out"]).alias("out"))
+
+            return F.get(F.transform(F.array(best), taken), F.lit(0))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda acc: acc["out"])
+
+    return F.get(F.transform(F.array(F.split(run, " ")), of_words), F.lit(0))
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.coalesce(p.try_cast("long") <= 255, F.lit(False)))
@@ -80,8 +113,6 @@ def _confirmed(kind: str, m: Column) -> Column:
         return F.length(d).between(12, 19) & F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return mod97(m)
     return F.lit(True)
 
 
@@ -98,11 +129,17 @@ def _spans(text: Column, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
         end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        before = F.lower(F.substring(text, F.greatest(begin - CONTEXT_CHARS, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT_CHARS))))
-        score = F.lit(BASE_SCORE[kind]) + F.when(before.rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), score.alias("score")))
-        ok = x["m"].isNotNull() & _confirmed(kind, x["m"])
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        def span(first: Column, last: Column) -> Column:
+            before = F.lower(F.substring(text, F.greatest(first - CONTEXT_CHARS, F.lit(0)) + 1, F.least(first, F.lit(CONTEXT_CHARS))))
+            score = F.lit(BASE_SCORE[kind]) + F.when(before.rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+            return F.struct(first.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), last.alias("end"), score.alias("score"))
+
+        if kind == "iban":
+            ok, spans = x["m"].isNotNull(), F.transform(_ibans(x["m"]), lambda r: span(begin + r["a"], begin + r["b"]))
+        else:
+            ok, spans = x["m"].isNotNull() & _confirmed(kind, x["m"]), F.array(span(begin, end))
+        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], spans)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     return F.when(NEEDS[kind](text), found).otherwise(F.array().cast(_SPAN))
@@ -115,7 +152,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     into ``KINDS``.  Null and empty texts have no spans; repeated rows give repeated
     results; other columns of ``docs`` are ignored; an empty table gives no rows.
     Matches of one kind don't overlap; a match that its checksum refutes is dropped
-    without another try inside it.  The score is the kind's base score plus a bonus
+    without another try inside it, but IBANs are looked for at every word of a run of
+    upper-case words.  The score is the kind's base score plus a bonus
     if a context word stands within forty characters before the span.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -109,6 +109,12 @@ def test_pii(spark, sf):
     assert text == "IBAN <iban> and, far away from any word that names such a thing, <iban>."
 
 
+def test_iban_among_upper_case_words(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB82WEST12345698765432 NOW", "REF AB12 CD34 EF56 GH78 DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947 BE71 0961 2345 6769", "DE89 3704 0044 0532 0130 00 Bank", "DE88 3704 0044 0532 0130 00 BIC"]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["IBAN <iban> BIC COBADEFFXXX", "<iban> NOW", "REF AB12 CD34 EF56 GH78 <iban>", "<iban> <iban>", "<iban> Bank", texts[5]]
+
+
 def test_pii_query(spark, sf):
     row = queries.op10_pii(spark, sf).where("n_email > 0").first()
     assert row.spans.count("email:") == row.n_email and re.fullmatch("[0-9a-f]{64}", row.base_sha256)
