@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bits of the fixed-size membership filters: 2^22 bits are 65 536 words, about
-#: 1 MB when broadcast, whatever the size of the input.
-FILTER_BITS = 22
+#: Bits of the membership filters: as many as ``BITS_EACH`` for every key, between these
+#: bounds.  2^24 bits are 262 144 words, some 10 MB when broadcast, whatever the input.
+LEAST_BITS, FILTER_BITS, BITS_EACH = 16, 24, 16
+#: Keys that hold this share of all rows, of which there are at most its inverse, are joined by broadcast.
+HOT_SHARE = 1 / 2000
+#: Bytes that an Arrow batch to a Python worker holds at most (or one row).
+BATCH_BYTES = 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="rillflow-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) is a temporary folder used.
+    Only on one machine (``local[n]``) is a temporary folder made where it is unset,
+    and removed at the driver's end; on a cluster that is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = _own_folder()
+    return f"{folder}/rillflow-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession, path: str | None = None) -> None:
+    """Remove what :func:`cut` wrote for this application (or ``path``).  Frames that still read it are void."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path or shared_folder(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rillflow-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    with _small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,31 +84,31 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def membership_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS, least: int = 1) -> DataFrame:
+def filter_bits(n: int) -> int:
+    """Bits of a filter for ``n`` keys, as a power of two."""
+    return min(FILTER_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+
+
+def membership_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """A bitmap over hashed keys: rows ``(word, mask)``, at most 2^bits / 64 of them.
 
-    A bit is set if at least ``least`` rows hash to it.  Clear bits are proof of
-    absence; set bits may be collisions, so a caller has to check what passes.
+    Clear bits are proof of absence; set bits may be collisions, so a caller has to
+    check what passes.
     """
     bucket = F.pmod(F.xxhash64(F.lit("rf"), F.col(key)), F.lit(1 << bits))
-    counted = keys.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.where(F.col("n") >= least)
-        .groupBy(F.shiftright("bucket", 6).alias("rf_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("rf_mask"))
-    )
+    return keys.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("mask"))
 
 
-def passing(df: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS, negate: bool = False) -> DataFrame:
+def passing(df: DataFrame, key: str, bitmap: DataFrame, bits: int, negate: bool = False) -> DataFrame:
     """Rows of ``df`` whose key's bit is set (or clear) in a :func:`membership_filter`.
 
     The bitmap is broadcast: its size is bounded by ``bits`` alone.
     """
-    bucket = F.pmod(F.xxhash64(F.lit("rf"), F.col(key)), F.lit(1 << bits))
-    marked = df.withColumn("rf_bucket", bucket).withColumn("rf_word", F.shiftright("rf_bucket", 6))
-    joined = marked.join(F.broadcast(bitmap), "rf_word", "left")
-    hit = F.coalesce(F.expr("(rf_mask & shiftleft(1L, cast(rf_bucket % 64 as int))) <> 0"), F.lit(False))
-    return joined.where(~hit if negate else hit).drop("rf_bucket", "rf_word", "rf_mask")
+    bucket, word, mask = fresh("bucket"), fresh("word"), fresh("mask")
+    marked = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("rf"), F.col(key)), F.lit(1 << bits))).withColumn(word, F.shiftright(bucket, 6))
+    joined = marked.join(F.broadcast(bitmap.toDF(word, mask)), word, "left")
+    hit = F.coalesce(F.expr(f"({mask} & shiftleft(1L, cast({bucket} % 64 as int))) <> 0"), F.lit(False))
+    return joined.where(~hit if negate else hit).select(df.columns)
 
 
 def gapless(df: DataFrame, group: list[str], by: list[str], out: str, total: int, share: int = 20_000) -> DataFrame:
@@ -76,29 +119,44 @@ def gapless(df: DataFrame, group: list[str], by: list[str], out: str, total: int
     numbered in one task.  ``total`` is the number of rows of ``df``.
     """
     buckets = max(1, -(-total // share))
-    b, off = fresh("b"), fresh("off")
+    b, off, n = fresh("b"), fresh("off"), fresh("n")
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*by), F.lit(buckets)))
-    counts = dealt.groupBy(*group, b).agg(F.count(F.lit(1)).alias("rf_n"))
+    counts = dealt.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, b, F.coalesce(F.sum("rf_n").over(before), F.lit(0)).alias(off))
+    offsets = counts.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
     numbered = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*group, b).orderBy(*by)) - 1)
     joined = numbered.join(offsets, [*group, b])
     return joined.withColumn(out, F.col(out) + F.col(off)).drop(b, off)
 
 
-def only(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids``; wide rows that are not are dropped before any shuffle."""
+def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (a cut frame); wide rows that are not are dropped before any shuffle."""
+    bits = filter_bits(ids.count())
     return passing(df, key, membership_filter(ids, key, bits), bits).join(ids.select(key).distinct(), key, "left_semi")
 
 
-def without(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``ids``; rows that a bitmap clears are not shuffled."""
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids`` (a cut frame); rows that a bitmap clears are not shuffled."""
+    bits = filter_bits(ids.count())
     bitmap = membership_filter(ids, key, bits)
     clear = passing(df, key, bitmap, bits, negate=True)
     doubtful = passing(df, key, bitmap, bits).join(ids.select(key).distinct(), key, "left_anti")
     return clear.unionByName(doubtful.select(clear.columns))
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` (cut), one row a key, where ``n`` is the key's number of rows of ``total``.
+
+    Keys of ``HOT_SHARE`` of all rows are few by counting alone (its inverse at most):
+    they are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col(n) >= max(1000, int(total * HOT_SHARE))
+    often = counted.where(hot)
+    by_task = rows.join(F.broadcast(often), keys)
+    rest = rows.join(F.broadcast(often.select(keys)), keys, "left_anti").join(counted.where(~hot), keys)
+    return by_task.unionByName(rest.select(by_task.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)`` links between long ids: rows ``(node, label)``, label the least id.
 

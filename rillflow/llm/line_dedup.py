@@ -1,13 +1,11 @@
 """Line dedup by pairwise alignment.
 
 Documents overlap if they share a line's hash, or that of a run of shorter lines
-which has as many words together.  Every shared line or run leads to its
-earliest holder only, so a line in a million documents makes a million links, not
-their square.  A document follows its rare lines (held by few documents); one
-without any follows its rarest, so copies of a text in any number are still found.
-Each linked pair is aligned with patience diff over line hashes, and the aligned
-blocks are deleted from the later document.  What is deleted stands, unchanged, in
-an earlier document: a line's earliest holder never loses it.
+which has as many words together.  Every shared line or run leads to its earliest
+holder only, rare or common alike, so a line in a million documents makes a million
+links, not their square.  Each linked pair is aligned with patience diff over line
+hashes, and the aligned blocks are deleted from the later document.  What is deleted
+stands, unchanged, in an earlier document: a line's earliest holder never loses it.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, membership_filter, passing
+from rillflow.llm.common import cut, filter_bits, fresh, join_counted, membership_filter, passing
 
 #: Lines and runs of lines of fewer words are no evidence of an overlap; nor is a block of fewer words deleted.
 LINE_WORDS, BLOCK_WORDS = 5, 5
@@ -74,11 +72,17 @@ def aligned_blocks(a: list, b: list, words: list[int], least: int = BLOCK_WORDS)
     return out
 
 
+#: Pairs whose line lists a worker turns into Python objects at once.
+PAIRS = 16
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        c = batch.to_pydict()
-        out = [aligned_blocks(a, b, w) for a, b, w in zip(c["ha"], c["hb"], c["wb"])]
-        yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(out, pa.list_(pa.int32()))], ["rk", "gone"])
+        for k in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(k, PAIRS)
+            c = part.to_pydict()
+            out = [aligned_blocks(a, b, w) for a, b, w in zip(c["ha"], c["hb"], c["wb"])]
+            yield pa.RecordBatch.from_arrays([part.column("rk"), pa.array(out, pa.list_(pa.int32()))], ["rk", "gone"])
 
 
 def _evidence(lines):
@@ -109,9 +113,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n", -1), line).alias("lines"))
     lines = cut(keyed.dropDuplicates(["rk"]).where("lines is not null"))
     held = lines.select("rk", "doc_id", F.explode(_evidence(F.col("lines"))).alias("h"))
-    first = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "rk")).alias("first")).where("df > 1")
-    shared = held.join(first, "h").where("first.doc_id < doc_id")
-    pairs = shared.select("rk", F.col("first.rk").alias("earlier")).distinct()
+    first = cut(held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "rk")).alias("first")).where("df > 1"))
+    total = int(first.agg(F.sum("df")).first()[0] or 0)
+    bits = filter_bits(first.count())
+    likely = passing(held, "h", membership_filter(first, "h", bits), bits)
+    shared = join_counted(likely, first, ["h"], "df", total).where("first.doc_id < doc_id")
+    pairs = cut(shared.select("rk", F.col("first.rk").alias("earlier")).distinct())
     later = pairs.join(lines.select("rk", F.col("lines.h").alias("hb"), F.col("lines.w").alias("wb")), "rk")
     both = later.join(lines.select(F.col("rk").alias("earlier"), F.col("lines.h").alias("ha")), "earlier").select("rk", "ha", "hb", "wb")
     found = both.mapInArrow(_align, "rk long, gone array<int>").where(F.size("gone") > 0)
@@ -130,19 +137,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines stays with an empty text; null texts and null ids are left alone; rows
     repeated whole are one document and are changed alike, rows that share only an id
     don't overlap.  ``removed_col`` names a further column with the number of removed
-    lines; ``n_chars``, if there is one, follows the text.
+    lines, which replaces one of that name; ``n_chars``, if there is one, follows the
+    text; other columns stay as they are, whatever their names.  An empty table gives no
+    rows.
     """
-    gone = cut(removed_lines(docs, id_col, text_col))
-    keyed = docs.withColumn("rf_rk", row_key(id_col, text_col))
-    gone = gone.withColumnRenamed("rk", "rf_rk").withColumnRenamed("gone", "rf_gone")
-    bitmap = membership_filter(gone, "rf_rk")
-    clear = passing(keyed, "rf_rk", bitmap, negate=True).withColumn("rf_n", F.lit(0))
-    maybe = passing(keyed, "rf_rk", bitmap).join(gone, "rf_rk", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("rf_gone", i)), "\n")
-    hit = F.col("rf_gone").isNotNull()
-    changed = maybe.withColumn(text_col, F.when(hit, kept).otherwise(F.col(text_col))).withColumn("rf_n", F.coalesce(F.when(hit, F.size("rf_gone")), F.lit(0)))
+    rk, lost, n = fresh("rk"), fresh("gone"), fresh("n")
+    gone = cut(removed_lines(docs, id_col, text_col).toDF(rk, lost))
+    keyed = docs.withColumn(rk, row_key(id_col, text_col))
+    bits = filter_bits(gone.count())
+    bitmap = membership_filter(gone, rk, bits)
+    clear = passing(keyed, rk, bitmap, bits, negate=True).withColumn(n, F.lit(0))
+    maybe = passing(keyed, rk, bitmap, bits).join(gone, rk, "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    hit = F.col(lost).isNotNull()
+    changed = maybe.withColumn(text_col, F.when(hit, kept).otherwise(F.col(text_col))).withColumn(n, F.coalesce(F.when(hit, F.size(lost)), F.lit(0)))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(hit, F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    cols = [*docs.columns, "rf_n"]
-    out = clear.select(cols).unionByName(changed.select(cols))
-    return out.withColumnRenamed("rf_n", removed_col) if removed_col else out.drop("rf_n")
+    out = clear.select(*docs.columns, n).unionByName(changed.select(*docs.columns, n))
+    if removed_col is None:
+        return out.drop(n)
+    return out.select(*[c for c in docs.columns if c != removed_col], F.col(n).alias(removed_col))

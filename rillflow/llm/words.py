@@ -6,13 +6,14 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Texts are worked on in slices of about so many bytes, whatever the Arrow batch; a worker's arrays take some 100 times that.
+#: Texts are worked on in slices of about so many bytes, whatever the Arrow batch; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -28,26 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_TABLES = [mix(np.arange(256, dtype=U) + U(1 + 256 * lane)) for lane in range(2)]
-_ODD = [U(0x9E3779B97F4A7C13), U(0xD6E8FEB86659FD93)]
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, U)
-    if n:
-        p[0] = 1
-    return np.cumprod(p, dtype=U)
-
-
-_POWERS: dict = {}
-
-
-def _power_pair(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the lane's odd base and of its inverse modulo 2^64."""
-    if len(_POWERS.get(lane, ((),))[0]) < n:
-        base, n = int(_ODD[lane]), (n + (1 << 16) - 1 >> 16) << 16  # in steps, so that slices of about one size share a table
-        _POWERS[lane] = (powers(U(base), n), powers(U(pow(base, -1, 1 << 64)), n))
-    return _POWERS[lane]
+_SEED = [U(0x2545F4914F6CDD1D), U(0x8CB92BA72F3D8DD7)]
+_ODD = [U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)]
+#: Longer words (in bytes) are hashed one by one with BLAKE2.
+LONG_WORD = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 class Words:
@@ -59,7 +45,9 @@ class Words:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + self.n_docs + 1] if self.n_docs else np.zeros(1, np.int64)
         lo, hi = int(offsets[0]), int(offsets[-1])
         data = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
-        self.data = _LOWER[data] if lower else data
+        padded = np.zeros(hi - lo + 8, np.uint8)
+        padded[:-8] = _LOWER[data] if lower else data
+        self.data, self.eights = padded[:-8], np.ndarray((hi - lo + 1,), "<u8", padded, strides=(1,))
         self.offsets = offsets - lo
         n = len(data)
         edge = np.zeros(n + 1, bool)
@@ -74,14 +62,22 @@ class Words:
         self.doc = np.repeat(np.arange(self.n_docs), self.count)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word; the two lanes are independent."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, U)
-        power, inverse = _power_pair(lane, n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_TABLES[lane][self.data] * power[:n], dtype=U, out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+        """A 64-bit hash of each word's bytes; those of the two lanes are independent.
+
+        Eight bytes at a time go through a bijective mixer, so words of at most eight
+        bytes and one length never collide, and no sum or polynomial cancels in others.
+        """
+        size = self.end - self.start
+        h = mix(size.astype(U) + _SEED[lane])
+        live, k = np.flatnonzero(size <= LONG_WORD), 0
+        while len(live):
+            left = size[live] - k
+            h[live] = mix((h[live] ^ (self.eights[self.start[live] + k] & _MASK[np.minimum(left, 8)])) * _ODD[lane] + U(k))
+            live, k = live[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG_WORD):
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            h[i] = int.from_bytes(blake2b(word, digest_size=8, salt=bytes([lane])).digest(), "little")
+        return h
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
