@@ -1,18 +1,23 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-1. One hash per shingle gives every document, in one scan, its set's size and
-   identity, its bottom-k sketch, and its retained values: the lowest ``DEPTH``
-   hashes of each of ``RUNS`` residue classes.  A list of a single common shingle
-   would be as long as the corpus, so inverted lists are kept by runs of retained
-   values of one class; sets with a similarity s share a run with probability
-   s^DEPTH, all but 0.59^28 (4e-7) of the pairs at 0.8 share one or more.
-2. Documents with one set form a class with a representative; the rest works on
-   representatives, so copies cost nothing further.
-3. Lists generate overlaps.  First each list links its members to one of them, chosen
-   by hash, so other lists choose others; what is linked is merged into components.
-   Then only pairs of one list in different components are looked at, inside blocks
-   of lists and in numpy: a pair becomes a row only if it passes the estimate.
-4. The union-sketch estimate drops pairs below the threshold with a wide margin (it is
+1. One hash per shingle gives every document, in one scan, its set's size, a digest of
+   the whole set, its bottom-k sketch and its retained values.
+2. Documents with one set (digests of the sorted full sets are equal) form a class with
+   a representative; the rest works on representatives, so copies cost nothing further.
+3. Inverted lists of retained values generate overlaps.  Sets of up to ``SMALL`` shingles
+   are retained whole, and similar ones must share one of their n - ceil(t n) + 1
+   rarest values: rarity is a count over a fixed number of buckets, so any order of
+   shingles that all share is exact, and no such pair is missed.  A list holds one value
+   in one band of set sizes and the next.  Of larger sets the lowest ``DEPTH`` hashes of
+   each of ``RUNS`` residue classes are retained, and a list is kept by a class's run of
+   them (a list of a single common shingle would be as long as the corpus): sets with a
+   similarity s share a run with probability s^DEPTH, all but 0.59^28 (4e-7) of the
+   pairs at 0.8 share one or more.
+4. First each list links its members to one of them, chosen by hash, so other lists
+   choose others; what is linked is merged into components.  Then only pairs of one list
+   in different components are looked at, inside blocks of lists and in numpy: a pair
+   becomes a row only if it passes the estimate.
+5. The union-sketch estimate drops pairs below the threshold with a wide margin (it is
    exact for sets that a sketch holds whole), and exact Jaccard on full shingle sets
    decides about the others.
 """
@@ -20,23 +25,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import components, cut, only, without
+from rillflow.llm.common import components, cut, join_counted, only, without
 from rillflow.llm.words import U, Words, combine, mix, shingles, slices
 
-RUNS, DEPTH = 28, 4
+#: Sets of at most so many shingles are retained whole; those too large for a partner of that size are in lists by runs.
+SMALL, RUNS, DEPTH = 160, 28, 4
+#: Buckets by which the rarity of a shingle is counted, whatever the number of shingles.
+BUCKETS = 1 << 16
 #: Values in a sketch.  Of the lowest 192 of a union, 154 are expected to be common at 0.8, and
 #: fewer than 0.656 of them (126) come with a probability of 4e-7.
 SKETCH, MARGIN = 192, 0.82
 #: Links to a list's chosen member are many and narrow: 64 values each, 51 expected, fewer than 36 with a probability of 5e-6;
 #: what they miss the last round still looks at.
 HUB_SKETCH, HUB_MARGIN = 64, 0.7
-#: Members of a list that are looked at together; a longer list is dealt to pairs of blocks.
+#: Members of a list that are looked at together; a longer list is dealt to pairs of blocks, so that it is whole, too.
 BLOCK = 1024
 #: Pairs whose sketches are compared at once, in arrays of 3 MB each.
 STEP = 2048
@@ -58,42 +67,107 @@ def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np
     return h, group // RUNS, group
 
 
-def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("runs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def _digests(batch: pa.RecordBatch, width: int) -> list[bytes]:
+    """A digest of each text's full set, each shingle by two independent hashes of its words; of nothing for an empty set."""
+    w = Words(batch.column("text"), lower=True)
+    one, doc = shingles(w, width, w.hashes())
+    two, _ = shingles(w, width, w.hashes(1))
+    order = np.lexsort((two, one, doc))
+    one, two, doc = one[order], two[order], doc[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1])
+    both = np.column_stack([one[new], two[new]])
+    ends = np.append(0, np.cumsum(np.bincount(doc[new], minlength=batch.num_rows)))
+    return [blake2b(both[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+
+
+def _sketch(width: int, percent: int):
+    small = lambda n: n <= SMALL
+    large = lambda n: n > SMALL * percent // 100
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("whole", pa.binary()), ("low", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             h, doc, group = _sets(batch, width)
             m = batch.num_rows
             n = np.bincount(doc, minlength=m)
-            ids = []
-            for lane in (1, 2):
-                total = np.zeros(m, U)
-                np.add.at(total, doc, mix(h + U(lane)))
-                ids.append(mix(total + n.astype(U)).view(np.int64))
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(h) else np.zeros(0, np.int64)
             rank = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
             kept = rank < DEPTH
             weighed = mix(h[kept] + rank[kept].astype(U))
             kept_starts = np.flatnonzero(rank[kept] == 0)
-            runs = np.zeros((m, RUNS), np.int64)
+            key, of = np.zeros(0, U), np.zeros(0, np.int64)
             if len(starts):
-                runs.reshape(-1)[group[starts]] = combine(np.add.reduceat(weighed, kept_starts), group[starts].astype(U) % U(RUNS)).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, (m + 1) * RUNS, RUNS, dtype=np.int32), runs.reshape(-1))
+                key, of = combine(np.add.reduceat(weighed, kept_starts), group[starts].astype(U) % U(RUNS)), doc[starts]
+                key, of = key[large(n[of])], of[large(n[of])]
             order = np.lexsort((h, doc))
-            low, bounds = (h[order] >> U(32)).astype(np.uint32), np.append(0, np.cumsum(n))
+            h, doc = h[order], doc[order]
+            bounds, whole = np.append(0, np.cumsum(n)), small(n[doc])
+            low = (h >> U(32)).astype(np.uint32)
             sketches = [low[a : min(b, a + SKETCH)].tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids[0]), pa.array(ids[1]), lists, pa.array(sketches, pa.binary())], schema=schema)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(_digests(batch, width), pa.binary()), _lists(h[whole], doc[whole], m), _lists(key, of, m), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _matrix(sketches: list[bytes], size: int = SKETCH) -> np.ndarray:
+def _lists(values: np.ndarray, owner: np.ndarray, m: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(owner, minlength=m))).astype(np.int32), values.view(np.int64))
+
+
+def _bucket(v: np.ndarray) -> np.ndarray:
+    return (v >> U(20)).astype(np.int64) % BUCKETS
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """Rows ``x, run``: the lists of each small set, by its rarest values and by bands of sizes."""
+    base = np.log(100 / percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, low = np.asarray(batch.column("n"), np.int64), batch.column("low")
+            v = np.asarray(low.flatten(), np.int64).view(U)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(low.value_lengths(), np.int64))
+            order = np.lexsort((v, counts[_bucket(v)], owner))
+            v = v[order]
+            rank = np.arange(len(v)) - (np.cumsum(n) - n)[owner]
+            first = rank < (n - -(-percent * n // 100) + 1)[owner]
+            v, owner = v[first], owner[first]
+            band = np.floor(np.log(n[owner]) / base).astype(np.int64)
+            keys = np.concatenate([combine(v, (band + k).astype(U)) for k in (0, 1)])
+            x = np.asarray(batch.column("x"), np.int64)[np.concatenate([owner, owner])]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(keys.view(np.int64))], ["x", "run"])
+
+    return run
+
+
+def _buckets_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = np.unique(_bucket(np.asarray(batch.column("low").flatten(), np.int64).view(U)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+
+def _list_keys(known: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``x, run``: in which lists each representative is."""
+    whole = known.where(F.col("n") <= SMALL).select(F.col("doc_id").alias("x"), "n", "low")
+    # at most BUCKETS rows, whatever the input
+    rows = whole.select("low").mapInArrow(_buckets_only, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[[r["bucket"] for r in rows]] = [r["n"] for r in rows]
+    few = whole.mapInArrow(_rarest(counts, percent), "x long, run long")
+    many = known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run"))
+    return few.unionByName(many).distinct()
+
+
+def _matrix(sketches: pa.Array, size: int = SKETCH) -> np.ndarray:
     """Sketches as rows, padded."""
     m = np.full((len(sketches), size), _PAD)
-    for i, x in enumerate(sketches):
-        row = np.frombuffer(x, np.uint32)
-        m[i, : len(row)] = row
+    if len(sketches):
+        sketches = sketches.cast(pa.large_binary())
+        ends = np.frombuffer(sketches.buffers()[1], np.int64)[sketches.offset : sketches.offset + len(sketches) + 1] // 4
+        values = np.frombuffer(sketches.buffers()[2] or b"", np.uint32)[ends[0] : ends[-1]]
+        row = np.repeat(np.arange(len(sketches)), np.diff(ends))
+        m[row, np.arange(len(values)) - (ends[:-1] - ends[0])[row]] = values
     return m
 
 
@@ -121,69 +195,51 @@ def _estimate(percent: int):
             nx, ny = (batch.column(k).to_numpy() for k in ("nx", "ny"))
             batch = batch.filter(pa.array(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent))
             c = {k: batch.column(k) for k in ("sx", "sy", "nx", "ny")}
-            ok = likely(_matrix(c["sx"].to_pylist(), HUB_SKETCH), _matrix(c["sy"].to_pylist(), HUB_SKETCH), c["nx"].to_numpy(), c["ny"].to_numpy(), percent, HUB_MARGIN)
+            ok = likely(_matrix(c["sx"], HUB_SKETCH), _matrix(c["sy"], HUB_SKETCH), c["nx"].to_numpy(), c["ny"].to_numpy(), percent, HUB_MARGIN)
             yield batch.select(["x", "y"]).filter(pa.array(ok))
 
     return run
 
 
-def _list_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs of one block (or pair of blocks) of a list whose members are in different components.
+def _list_pairs(rows: pa.RecordBatch, group: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of the same group (a block, or a pair of blocks, of a list) whose members are in different components.
 
-    A pair that several lists share is looked at in the list of its first common run only.
+    A group's rows are sorted by size, so each row meets those after it until they are too large.
     """
-    get = lambda k: rows.column(k).combine_chunks().to_numpy(zero_copy_only=False)
-    x, label, n, own, run = get("x"), get("label"), get("n"), get("own"), get("run")[0]
-    bi, bj = get("bi")[0], get("bj")[0]
-    runs = np.asarray(rows.column("runs").combine_chunks().flatten()).reshape(-1, RUNS)
-    left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-    found = []
-    for i in left:
-        j = right[(x[right] > x[i]) if bi == bj else (x[right] != x[i])]
-        j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
-        if len(j):
-            same = (runs[j] == runs[i]) & (runs[j] != 0)
-            j = j[runs[i][same.argmax(axis=1)] == run]
-            found.append((np.full(len(j), i), j))
-    if not found:
-        return x[:0], x[:0]
-    p, q = (np.concatenate(c) for c in zip(*found))
-    used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-    m = _matrix(rows.column("sketch").combine_chunks().take(pa.array(used)).to_pylist())
-    ok = np.zeros(len(p), bool)
-    for at in range(0, len(p), STEP):
-        k = slice(at, at + STEP)
-        ok[k] = likely(m[back[: len(p)][k]], m[back[len(p) :][k]], n[p[k]], n[q[k]], percent)
-    return x[p[ok]], x[q[ok]]
+    x, label, n, own, bi, bj = (np.asarray(rows.column(k)) for k in ("x", "label", "n", "own", "bi", "bj"))
+    sketches, k, d = _matrix(rows.column("sketch")), np.arange(len(x)), 1
+    while len(k):
+        k = k[k + d < len(x)]
+        k = k[(group[k] == group[k + d]) & (100 * n[k] >= percent * n[k + d])]
+        open_ = (label[k] != label[k + d]) & (x[k] != x[k + d]) & ((bi[k] == bj[k]) | (own[k] != own[k + d]))
+        p = k[open_]
+        ok = likely(sketches[p], sketches[p + d], n[p], n[p + d], percent)
+        p = p[ok]
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], x[p + d])), pa.array(np.maximum(x[p], x[p + d]))], ["x", "y"])
+        d += 1
 
 
 def _blocks(percent: int):
-    """Rows sorted by list and block: whole groups are looked at, the last of a batch waits for the next."""
+    """Rows sorted by list, block and size: whole groups are looked at, the last of a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: pa.RecordBatch | None = None
 
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = _list_pairs(table, percent)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
+        def groups(batch: pa.RecordBatch) -> np.ndarray:
+            key = np.column_stack([batch.column(k).to_numpy() for k in ("run", "bi", "bj")])
+            return np.cumsum(np.append(False, (key[1:] != key[:-1]).any(axis=1)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            key = np.column_stack([batch.column(k).to_numpy() for k in ("run", "bi", "bj")])
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            if held and tuple(held[0].column(k)[0].as_py() for k in ("run", "bi", "bj")) != tuple(key[0].tolist()):
-                yield from done(pa.concat_tables(held))
-                held = []
-            for a, b in zip(cuts, cuts[1:]):
-                held.append(table.slice(a, b - a))
-                if b < len(key):
-                    yield from done(pa.concat_tables(held))
-                    held = []
-        if held:
-            yield from done(pa.concat_tables(held))
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            group = groups(batch)
+            last = int(np.searchsorted(group, group[-1]))
+            yield from _list_pairs(batch.slice(0, last), group[:last], percent)
+            held = batch.slice(last)
+        if held is not None:
+            yield from _list_pairs(held, groups(held), percent)
 
     return run
 
@@ -212,25 +268,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that is shorter.  Null, empty and blank texts have an empty set and are linked
     with nothing: they are components of their own.  Documents are linked when 100 *
     intersection >= ``percent`` * union.  Ids name documents: rows that share an id
-    share a component.  Null ids get a null component.  Other columns are ignored.
+    share a component.  Null ids get a null component.  Other columns are ignored;
+    an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch(width), "doc_id long, n long, set1 long, set2 long, runs array<long>, sketch binary"))
-    one_set = ["n", "set1", "set2"]
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy(*one_set).agg(F.min("doc_id").alias("rep"))
-    member = sketched.where("n > 0 and doc_id is not null").select("doc_id", *one_set).join(classes, one_set).select("doc_id", "rep")
-    member = cut(member)
-    reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    known = sketched.join(reps, "doc_id", "left_semi")
-    lists = cut(known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run")).where("run <> 0").distinct())
-    sketches = sketched.select("doc_id", "n", F.substring("sketch", 1, 4 * HUB_SKETCH).alias("sketch"))
+    sketched = cut(texts.mapInArrow(_sketch(width, percent), "doc_id long, n long, whole binary, low array<long>, runs array<long>, sketch binary"))
+    filled = sketched.where("n > 0 and doc_id is not null")
+    classes = cut(filled.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("rep < last"))
+    member = cut(join_counted(filled.select("doc_id", "whole"), classes, ["whole"], "size", sketched.count()).where("doc_id <> rep").select("doc_id", "whole", "rep").distinct())
+    # an id with several texts may stand for one of them and not for another
+    row = F.struct("doc_id", "whole").alias("row")
+    known = without(filled.select("*", row), "row", cut(member.select(row))).drop("row")
+    lists = cut(_list_keys(known, percent))
+    sketches = known.select("doc_id", "n", F.substring("sketch", 1, 4 * HUB_SKETCH).alias("sketch"))
 
     def exact(guessed: DataFrame) -> DataFrame:
         full = only(texts, "doc_id", _ends(guessed))
         found = guessed.join(full.toDF("x", "tx"), "x").join(full.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
         return cut(found.mapInArrow(_verify(width, percent), "x long, y long").toDF("a", "b"))
 
-    edges, label = member.where("doc_id <> rep").toDF("a", "b"), None
+    edges, label = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
     for turn in range(HUB_ROUNDS):
         at = _labelled(lists, label)
         hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64("run", "x", F.lit(turn))).alias("hub")).where("lo <> hi")
@@ -247,11 +304,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = at.join(open_.select("run", blocks.alias("blocks")), "run").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj")))
     dealt = cut(members.select("run", "x", "label", "own", F.inline(meets)))
-    payload = only(sketched.select(F.col("doc_id").alias("x"), "n", "runs", "sketch"), "x", dealt).dropDuplicates(["x"])
+    payload = only(known.select(F.col("doc_id").alias("x"), "n", "sketch"), "x", cut(dealt.select("x").distinct())).dropDuplicates(["x"])
     wide = dealt.join(payload, "x")
-    sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
-    guessed = sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct()
-    label = components(edges.unionByName(exact(cut(guessed))))
+    sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "n")
+    guessed = cut(sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct())
+    label = components(edges.unionByName(exact(guessed)))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
