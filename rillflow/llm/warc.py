@@ -25,10 +25,13 @@ BUCKET_SECONDS = 3600
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and a leading ``www.`` or ``m.`` dropped, host in lower case, default port, fragment, tracking
-    parameters and trailing slash gone, the other parameters sorted.  Null stays null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), ":(80|443)$", ""), r"^(www\.|m\.)", "")
+    """Host in lower case, the scheme's own default port, fragment, tracking parameters and trailing slash gone,
+    the other parameters sorted.  ``http`` and ``https`` are one, as are a missing scheme and ``http``; every label
+    of the host and any other port count.  Null stays null."""
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    bare = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    named = F.lower(F.regexp_extract(bare, "^([^/?]*)", 1))
+    host = F.when(whole.rlike("^[Hh][Tt][Tt][Pp][Ss]://"), F.regexp_replace(named, ":443$", "")).otherwise(F.regexp_replace(named, ":80$", ""))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
     kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(TRACKING)))
@@ -58,7 +61,9 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     neither validator); ``stale`` (validators differ); ``orphan`` (no earlier response,
     or a null URL or time); ``other``.  Only a resolved record refers to another; its
     headers are the stored ones, updated by the revisit's permitted fields.  Null
-    headers count as none.  Records repeated whole are resolved each on its own.
+    headers count as none.  Records repeated whole are resolved each on its own, and a
+    full response repeated whole is one; other columns are ignored; an empty table gives
+    no rows.
     """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     r = records.select(
@@ -66,23 +71,25 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
         lower_names(F.coalesce(F.col("headers"), empty)).alias("headers"),
     )
     r = r.withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1_000_000)))
+    # records that can't be looked up are spread over keys of their own
+    lost = F.col("url_key").isNull() | F.col("ts").isNull()
+    r = r.withColumn("key", F.when(lost, F.concat(F.lit("\0"), F.pmod(F.xxhash64("record_id"), F.lit(4096)))).otherwise(F.col("url_key")))
     is_full = F.col("status").between(200, 299)
     at = F.struct(F.col("ts").alias("at"), F.col("record_id").alias("refers_to"), F.col("headers"))
     # map values can't be ordered: the latest is taken by (ts, record_id)
-    full = r.where(is_full & F.col("url_key").isNotNull() & F.col("ts").isNotNull())
-    last = full.groupBy("url_key", "bucket").agg(F.max_by(at, F.struct("ts", "record_id")).alias("latest"))
-    marks = r.select("url_key", "bucket").distinct().join(last, ["url_key", "bucket"], "left")
-    earlier = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select("url_key", "bucket", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
-    within = Window.partitionBy("url_key", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = r.where(is_full & ~lost).groupBy("key", "bucket").agg(F.max_by(at, F.struct("ts", "record_id")).alias("latest"))
+    marks = r.where(~lost).select("key", "bucket").distinct().join(last, ["key", "bucket"], "left")
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select("key", "bucket", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
+    within = Window.partitionBy("key", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = r.withColumn("own", F.last(F.when(is_full, at), ignorenulls=True).over(within))
-    joined = seen.join(carried, ["url_key", "bucket"], "left").withColumn("base", F.coalesce("own", "carried"))
+    joined = seen.join(carried, ["key", "bucket"], "left").withColumn("base", F.coalesce("own", "carried"))
 
     strip = lambda tag: F.regexp_replace(tag, "^W/", "")
     mine, theirs = strip(_header("headers", "etag")), strip(_header("base.headers", "etag"))
     my_date, their_date = _header("headers", "last-modified"), _header("base.headers", "last-modified")
     same = F.when(mine.isNotNull() & theirs.isNotNull(), mine == theirs).when(my_date.isNotNull() & their_date.isNotNull(), my_date == their_date).otherwise(mine.isNull() & my_date.isNull())
-    lost = F.col("base").isNull() | F.col("url_key").isNull() | F.col("ts").isNull()
+    lost = lost | F.col("base").isNull()
     outcome = F.when(is_full, "full").when(F.coalesce(F.col("status") != 304, F.lit(True)), "other").when(lost, "orphan").when(same, "resolved").otherwise("stale")
     updates = F.map_filter("headers", lambda k, v: k.isin(UPDATES))
     stored = F.map_filter("base.headers", lambda k, v: ~F.array_contains(F.map_keys(updates), k))
@@ -96,7 +103,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
 
 
 def with_bodies(resolved: DataFrame, bodies: DataFrame, body_col: str) -> DataFrame:
-    """Resolved and full records with the body of the record that they stand for; ``bodies`` has ``record_id``."""
+    """``resolved`` with ``body``, that of the record which each stands for (null if it stands for none); ``bodies`` has one row a ``record_id``.
+
+    Null ids have no body; an empty table of bodies gives null bodies.
+    """
     held = bodies.select(F.col("record_id").alias("held_id"), F.col(body_col).alias("body"))
     want = F.coalesce(F.col("refers_to"), F.when(F.col("outcome") == "full", F.col("record_id")))
     return resolved.join(held, want == F.col("held_id"), "left").drop("held_id")
