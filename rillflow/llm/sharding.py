@@ -2,7 +2,8 @@
 
 Groups (equal texts) are atomic and ordered by a 64-bit hash of their text.  The
 smallest shard capacity for which a greedy sweep needs at most ``shards`` shards
-is found by binary search.  The driver never sees the groups: it holds a bounded
+is found by binary search; within it, cuts fall where they share out evenly what is
+left (a hot group may force the capacity far above the mean).  The driver never sees the groups: it holds a bounded
 list of key ranges with their sums.  A search over the ranges as if each were
 atomic gives an upper bound on the capacity, the mean and the largest group a
 lower one; ranges in which a cut can still fall are refined by another
@@ -51,6 +52,32 @@ def minimax_capacity(sizes: list[int], shards: int) -> int:
     return lo
 
 
+def even_cuts(sums: list[int], capacity: int, shards: int) -> list[int]:
+    """Ends of shards of at most ``capacity``, each as near as that allows to an even share of what is left.
+
+    What is left after a cut must fit the other shards, which ``greedy_cuts`` tells; its
+    own first cut always does, so a feasible capacity stays feasible.
+    """
+    ends, at = [], 0
+    while at < len(sums) - 1:
+        left = shards - len(ends)
+        most = bisect_right(sums, sums[at] + capacity) - 1
+        share = sums[at] + (sums[-1] - sums[at]) / left
+        to = min(most, max(at + 1, bisect_right(sums, share) - 1))
+        if to < most and sums[to + 1] - share < share - sums[to]:
+            to += 1
+        fits = lambda end: greedy_cuts([s - sums[end] for s in sums[end:]], capacity, left - 1) is not None
+        if not fits(to):
+            low = to  # the least later end that leaves enough room
+            to = most
+            while to - low > 1:
+                mid = (low + to) // 2
+                low, to = (low, mid) if fits(mid) else (mid, to)
+        ends.append(to)
+        at = to
+    return ends
+
+
 class Segment(NamedTuple):
     """All groups whose key starts with ``prefix`` (the key's upper ``bits`` bits, signed)."""
 
@@ -115,7 +142,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             lo = mid + 1
         else:
             hi = mid
-    return lo, [segments[i].start for i in greedy_cuts(sums, lo, shards)[:-1]]
+    return lo, [segments[i].start for i in even_cuts(sums, lo, shards)[:-1]]
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
