@@ -119,29 +119,58 @@ def _confirmed(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
+#: Matches that are folded together: arrays grow by copying, so a text with many matches is folded in blocks.
+BLOCK = 256
+#: So many matches and the gaps before them have at least ``CONTEXT_CHARS`` code points together (a match has three or more).
+LAST = -(-CONTEXT_CHARS // 3)
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind as structs (start, kind number, end, score); code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """Confirmed spans of one kind as structs (start, kind number, end, score); code points, end exclusive.
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
+    The work is linear in the text: what stands before a match is carried along, not
+    looked up from the text's start.
+    """
+    length = lambda m: F.coalesce(F.length(m), F.lit(0))
+    last = lambda t: F.right(t, F.lit(CONTEXT_CHARS))
 
-        def span(first: Column, last: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(first - CONTEXT_CHARS, F.lit(0)) + 1, F.least(first, F.lit(CONTEXT_CHARS))))
-            score = F.lit(BASE_SCORE[kind]) + F.when(before.rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
-            return F.struct(first.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), last.alias("end"), score.alias("score"))
+    def span(before: Column, start: Column, end: Column) -> Column:
+        near = F.lower(last(before)).rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})")
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), (F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)).alias("score"))
 
+    def step(acc: Column, x: Column) -> Column:
+        begin, before = acc["at"] + F.length(x["g"]), F.concat(acc["tail"], last(x["g"]))
+        end = begin + length(x["m"])
         if kind == "iban":
-            ok, spans = x["m"].isNotNull(), F.transform(_ibans(x["m"]), lambda r: span(begin + r["a"], begin + r["b"]))
+            ok, spans = x["m"].isNotNull(), F.transform(_ibans(x["m"]), lambda r: span(F.concat(before, F.left(x["m"], r["a"])), begin + r["a"], begin + r["b"]))
         else:
-            ok, spans = x["m"].isNotNull() & _confirmed(kind, x["m"]), F.array(span(begin, end))
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], spans)).otherwise(acc["out"]).alias("out"))
+            ok, spans = x["m"].isNotNull() & _confirmed(kind, x["m"]), F.array(span(before, begin, end))
+        tail = last(F.concat(before, F.coalesce(x["m"], F.lit(""))))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(ok, F.concat(acc["out"], spans)).otherwise(acc["out"]).alias("out"))
+
+    def of_blocks(blocks: Column) -> Column:
+        size = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["g"]) + length(x["m"]))
+        starts = F.aggregate(F.transform(blocks, size), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        end_of = lambda b: last(F.array_join(F.transform(F.slice(b, -LAST, LAST), lambda x: F.concat(last(x["g"]), F.coalesce(x["m"], F.lit("")))), ""))
+
+        def of_block(b: Column, i: Column, at: Column) -> Column:
+            tail = F.when(i > 0, end_of(F.get(blocks, i - 1))).otherwise("")
+            start = F.struct(F.get(at, i).alias("at"), tail.alias("tail"), F.array().cast(_SPAN).alias("out"))
+            return F.aggregate(b, start, step, lambda acc: acc["out"])
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return _bind(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: of_block(b, i, at))))
+
+    def of_pairs(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        return _bind(F.transform(numbers, lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK))), of_blocks)
+
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    found = _bind(F.zip_with(F.split(text, PATTERNS[kind], -1), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), of_pairs)
     return F.when(NEEDS[kind](text), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -162,16 +191,34 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` with spans scored ``least`` or more replaced by ``<kind>``; overlapping spans count from the first."""
+    """``docs`` with spans scored ``least`` or more replaced by ``<kind>``; overlapping spans count from the first.
+
+    Null texts stay null, empty ones empty; repeated rows are changed alike; other columns
+    stay as they are; an empty table gives no rows.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.array_sort(F.concat(*[_spans(text, k) for k in KINDS]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+
+    def chosen(found: Column) -> Column:
+        """Spans that are replaced, in blocks, so that the fold stays linear."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, F.lit(BLOCK)))
+
+        def step(acc: Column, s: Column) -> Column:
+            take = (s["start"] >= acc["at"]) & (s["score"] >= least)
+            return F.struct(F.when(take, s["end"]).otherwise(acc["at"]).alias("at"), F.when(take, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+
+        def block(acc: Column, b: Column) -> Column:
+            begun = F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
+            return _bind(F.aggregate(b, begun, step), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        name = F.element_at(F.array(*[F.lit(f"<{k}>") for k in KINDS]), s["kind"] + 1)
-        taken = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, name).alias("out"))
-        return F.when((s["start"] >= acc["at"]) & (s["score"] >= least), taken).otherwise(acc)
+    def replaced(kept: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(0)
+        parts = F.transform(kept, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.element_at(names, s["kind"] + 1)))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)) + 1))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    done = _bind(_bind(spans, chosen), replaced)
     return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done))
