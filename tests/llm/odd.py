@@ -6,11 +6,13 @@ TEXTS = [
     "é É ß     \U0001f600 end", LONG, LONG + " tail", "x" * 70_000, "1 " * 6000, "\n\n\n", "line one is here now\nline two is here now\n" * 3,
     "word " * 400, "<|endoftext|> in the middle <|endoftext|>", "\x00 nul \x1f unit",
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, `shard` int, out double, size string"
+#: Names that operators might use for columns of their own.
+CLASHING = ["rf_word", "rf_mask", "rf_bucket", "rf_n", "rf_gone", "rf_rk", "rf_score", "score", "word", "mask", "bucket", "label", "rep", "n", "hs", "h", "item", "first", "kept", "found"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, `shard` int, out double, size string, " + ", ".join(f"{c} int" for c in CLASHING)
 
 
 def odd_docs(spark):
-    rows = [(i, t, None if i % 2 else "en", "s", None, "k", 1, 0.5, "z") for i, t in enumerate(TEXTS)]
+    rows = [(i, t, None if i % 2 else "en", "s", None, "k", 1, 0.5, "z", *range(len(CLASHING))) for i, t in enumerate(TEXTS)]
     rows += [rows[5], rows[9]]  # repeated whole
     return spark.createDataFrame(rows, SCHEMA)
 

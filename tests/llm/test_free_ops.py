@@ -7,13 +7,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from rillflow.llm import decontamination, quality, warc
-from rillflow.llm.line_dedup import aligned_blocks, line_dedup, patience
+from rillflow.llm import decontamination, quality, queries, warc
+from rillflow.llm.line_dedup import aligned_blocks, line_dedup, patience, removed_lines, row_key
 from rillflow.llm.near_dedup import near_components, near_dedup
 from rillflow.llm.packing import cutting_stock, pack
 from rillflow.llm.substring_dedup import substring_dedup
+from rillflow.llm.words import Words
 
 from .odd import TEXTS, none, odd_docs
 
@@ -41,6 +43,62 @@ def test_substring_dedup(spark):
     assert substring_dedup(none(spark)).count() == 0
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters on which polynomial hashes modulo a power of two agree."""
+    a = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+def test_word_hashes():
+    pairs = [thue_morse(64 << k) for k in range(7)] + [("a", "a\0"), ("abcdefgh", "abcdefgi"), ("abcdefghi", "abcdefgh\0"), ("x" * 64, "x" * 65)]
+    w = Words(pa.array([" ".join(p) for p in pairs] + ["é É same same", "", None]), lower=False)
+    for lane in (0, 1):
+        h = w.hashes(lane)
+        assert len(set(h.tolist())) == 2 * len(pairs) + 3 and h[-1] == h[-2]
+    assert not set(w.hashes(0)[:20].tolist()) & set(w.hashes(1)[:20].tolist())
+
+
+def test_hard_words(spark):
+    a, b = thue_morse(2048)
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b), (5, f"{b} {rest}"), (None, f"{b} {rest}")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup(docs).collect())
+    assert got == [(0, 50, 0), (1, 50, 0), (2, 50, 0), (3, 1, 0), (4, 1, 0), (5, 50, 50)]
+    got = {r.doc_id: r.component_id for r in near_components(docs, width=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, None: None}  # 48 of 50 shingles are common
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_components_by_size(spark, width):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in [*range(2, 40), 52, 63, 64, 65, 80, 100, 127, 128, 129, 140, 158, 160, 161, 170, 199, 230, 300, 400]:
+        words = ["the", "same", "start", "of", "all"][: n // 8] + [f"w{k}" for k in rng.integers(0, 4000, n)]
+        rows += [" ".join(words), " ".join([*words, "end"]), " ".join(words[: max(1, int(len(words) * 0.81))])]
+        most = int(len(words) / (9 * width))  # replaced words: a similarity of 0.8 or a little more, and a little less
+        for times in {most, most + 1} - {0}:
+            other = list(words)
+            for k in rng.choice(len(words), times, replace=False):
+                other[k] = f"x{k}"
+            rows.append(" ".join(other))
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)} for w in (t.split() for t in rows)]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = near_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), width=width).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_components(spark, width):
     near = [(60 + i, " ".join(f"q{k}" if k % 40 != i else "x" for k in range(200))) for i in range(6)]
@@ -105,7 +163,29 @@ def test_quality(spark, sf):
     assert np.mean([[a > b for b in bad] for a in good]) > 0.9
     odd = quality.score(odd_docs(spark), model).collect()
     assert len(odd) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in odd)
+    assert all(set(r.asDict()) == set(odd_docs(spark).columns) for r in odd)
     assert quality.score(none(spark), model).count() == 0 and quality.fit(docs, labels.where("quality = 1")) is None
+    both = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    few = docs.where("doc_id < 4")
+    one, two = (quality.fit(few.union(again), both) for again in (few.limit(0), few))
+    assert all(np.array_equal(one[k], two[k]) for k in one)  # repeated rows count once, an id with both labels not at all
+
+
+def test_quality_query(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op6_quality(spark, sf).collect()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").collect(), {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    texts = {r.doc_id: r.text or "" for r in docs}
+    ids = sorted(i for i in texts if i in labels and not held(i) and labels[i] in (0, 1))
+    bags = [quality.encode(pa.array([texts[i]], pa.large_string()))[0] for i in ids]
+    model = quality.fit_bags(bags, np.array([float(labels[i]) for i in ids]))
+    assert len(ids) <= quality.FIT_ROWS and len(got) == len(docs)
+    for r in got:
+        want = quality.scores_of(model, pa.array([texts[r.doc_id]], pa.large_string()))[0]
+        assert r.held_out == held(r.doc_id) and abs(r.score - want) < 1e-9 and 0 <= r.score <= 1 and r.predicted == (1 if r.score >= 0.3 else 0)
+    right = [r.predicted == labels[r.doc_id] for r in got if r.held_out and r.doc_id in labels]
+    assert np.mean(right) > 0.85
 
 
 def test_patience():
@@ -162,6 +242,31 @@ def test_line_dedup_short_lines(spark):
     assert got == plain_line_dedup(rows) == dict(rows) | {2: "a copy of it", 6: "this one asks again\n \nis it so", 10: "start\nthe end", 11: "other"}
 
 
+def test_line_dedup_recall(spark):
+    """Against all pairs of documents aligned one by one: what is deleted, and what of that is found."""
+    rng = np.random.default_rng(5)
+    pool = [[f"block {k} has a line {i}" + " of more words" * int(rng.integers(0, 2)) if rng.random() < 0.7 else f"b{k} {i}" for i in range(rng.integers(1, 6))] for k in range(40)]
+    rows = []
+    for d in range(80):
+        lines = []
+        for k in rng.choice(40, rng.integers(1, 7), replace=False):
+            lines += pool[k] + [f"own words of {d} stand between {len(lines)}"] * int(rng.integers(0, 2))
+        rows.append((d, "\n".join(lines)))
+    lines = {d: t.split("\n") for d, t in rows}
+    words = {d: [len(x.split()) for x in a] for d, a in lines.items()}
+    want = {(b, k) for b in lines for a in range(b) for k in aligned_blocks(lines[a], lines[b], words[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = removed_lines(docs).join(docs.select("doc_id", row_key("doc_id", "text").alias("rk")), "rk").collect()
+    got = {(r.doc_id, k) for r in removed for k in r.gone}
+    earlier = {}
+    for d, a in lines.items():
+        for x in a:
+            earlier.setdefault(x, d)
+    assert all(earlier[lines[b][k]] < b for b, k in got)
+    assert len(want) > 300 and len(got & want) / len(want) > 0.97
+    assert {r.doc_id: r.text for r in line_dedup(docs).collect()} == plain_line_dedup(rows)
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     items = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, "")], "item_id long, text string")
@@ -174,7 +279,10 @@ def test_decontamination(spark):
     finally:
         decontamination.BROADCAST_ROWS = held
     assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items).collect()) == [3, 5, 6]
-    assert decontamination.decontaminate(odd_docs(spark), items).count() == len(TEXTS) + 2
+    odd = decontamination.decontaminate(odd_docs(spark), items)
+    assert odd.count() == len(TEXTS) + 2 and odd.columns == odd_docs(spark).columns
+    assert decontamination.contaminated(none(spark), items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
+    assert decontamination.decontaminate(docs, items.limit(0)).count() == 6
 
 
 def test_decontamination_searches_sketches(spark):
@@ -197,7 +305,7 @@ def test_decontamination_texts_of_one_item(spark):
 
 def test_revisits(spark):
     rows = [
-        (1, "http://www.A.com/x/?b=1&a=2&utm_source=q#f", 100, 200, {"ETag": '"v"', "Content-Type": "t"}), (2, "https://a.com:443/x?a=2&b=1", 5000, 304, {"etag": 'W/"v"', "Cache-Control": "c", "Content-Type": "no"}),
+        (1, "http://A.com:80/x/?b=1&a=2&utm_source=q#f", 100, 200, {"ETag": '"v"', "Content-Type": "t"}), (2, "https://a.com:443/x?a=2&b=1", 5000, 304, {"etag": 'W/"v"', "Cache-Control": "c", "Content-Type": "no"}),
         (3, "a.com/x?a=2&b=1", 50, 304, {}), (4, "http://a.com/x?a=2&b=1", 9000, 304, {"ETag": "other"}), (5, None, 1, 304, None), (6, "a.com/y", None, 200, None), (7, "a.com/x?a=2&b=1", 9999999, 304, None), (7, "a.com/x?a=2&b=1", 9999999, 304, None), (8, "a.com/q", 5, 404, None),
     ]
     d = spark.createDataFrame(rows, "record_id long, url string, s long, status int, headers map<string,string>").withColumn("ts", F.timestamp_seconds("s"))
@@ -206,16 +314,13 @@ def test_revisits(spark):
     assert got[2].refers_to == 1 and got[2].headers == {"content-type": "t", "etag": 'W/"v"', "cache-control": "c"}
     bodies = spark.createDataFrame([(1, "body")], "record_id long, html string")
     assert warc.with_bodies(warc.resolve_revisits(d), bodies, "html").where("body = 'body'").count() == 4
+    assert warc.resolve_revisits(d.limit(0)).count() == 0
+    repeated = warc.resolve_revisits(d.where("record_id < 3").union(d.where("record_id = 1"))).collect()
+    assert sorted((r.record_id, r.outcome, r.refers_to) for r in repeated if r.record_id == 2) == [(2, "resolved", 1)] and len(repeated) == 3
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
-        assert docs.columns == columns
-        assert {r.doc_id for r in docs.collect()} <= before
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+def test_canonical_url(spark):
+    forms = ["http://a.com/x", "https://A.com:443/x/", "a.com:80/x#f", "http://m.a.com/x", "http://www.a.com/x", "http://a.com:443/x", "https://a.com:80/x", None, ""]
+    d = spark.createDataFrame(list(enumerate(forms)), "i int, url string")
+    got = [r.k for r in d.orderBy("i").select(warc.canonical_url(F.col("url")).alias("k")).collect()]
+    assert got == ["a.com/x"] * 3 + ["m.a.com/x", "www.a.com/x", "a.com:443/x", "a.com:80/x", None, ""]
