@@ -28,6 +28,35 @@ def key_value(key: Column, value: Column, separator: str = ",") -> Column:
     return F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(separator), F.coalesce(value.cast("string"), F.lit("")))
 
 
+def record_line(value: Column, key: Column | None = None, separator: str = " ") -> Column:
+    """A message as a line: ``key value`` or ``value`` alone; null is written as nothing."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return blank(value) if key is None else F.concat(blank(key), F.lit(separator), blank(value))
+
+
+def first_char(text: Column) -> Column:
+    return F.substring(text, 1, 1)
+
+
+def parse_instant(text: Column) -> Column:
+    """An ISO instant (with offset or ``Z``; without one, in the session's zone); null if it isn't one."""
+    return text.try_cast("timestamp")
+
+
+def format_instant(at: Column) -> Column:
+    """ISO with milliseconds and ``Z``, in UTC."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def clock(at: Column, seconds: bool = True) -> Column:
+    return F.date_format(at, "HH:mm:ss" if seconds else "HH:mm")
+
+
+def round_half_up(value: Column, digits: int = 2) -> Column:
+    """Decimal places, half away from zero."""
+    return F.round(value, digits)
+
+
 def first_part(text: Column, separator: str = ":") -> Column:
     return F.substring_index(text, separator, 1)
 

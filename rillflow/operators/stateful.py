@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def count_buffer(df: DataFrame, key: str, order: list[str], sizes: dict[str, int], default: int) -> DataFrame:
@@ -20,25 +25,62 @@ def size_batches(df: DataFrame, key: str, order: list[str], size: int) -> DataFr
     return df.withColumn("batch", (i / size).cast("long"))
 
 
-def time_buffer(df: DataFrame, key: str, ts: str, seconds: int, tie: str) -> DataFrame:
-    """Flush times of a buffer whose timer starts with the first row after a flush: ``key, flush_at, n``.
+def flush_chain(df: DataFrame, key: str, at: Column, wait: int, value: Column | None = None) -> DataFrame:
+    """What is flushed ``wait`` after the first row since the last flush, per key: ``key, first, due, n, total``.
 
-    The chain of flushes is sequential within a key, so a fold over the key's ordered times computes it.
+    ``at`` is an integer time; a row at the due time itself still belongs to the flush.
+    Rows without a time are left out; null keys are a key.  A key's flushes follow from
+    each other, so its rows pass one task in time order, but none are held there: memory
+    doesn't grow with a key.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    ordered = df.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("times"))
-    zero = F.array().cast("array<struct<due:bigint,n:bigint>>")
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (t > F.try_element_at(acc, F.lit(-1))["due"])
-        add = lambda due, n: F.struct(due.alias("due"), n.cast("long").alias("n"))
-        return F.when(fresh, F.concat(acc, F.array(add(t + seconds * 1_000_000, F.lit(1))))).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(add(F.try_element_at(acc, F.lit(-1))["due"], F.try_element_at(acc, F.lit(-1))["n"] + 1)))
-        )
-
-    flushed = ordered.select(key, F.explode(F.aggregate("times", zero, step)).alias("f"))
-    return flushed.select(key, F.timestamp_micros("f.due").alias("flush_at"), F.col("f.n").alias("n"))
+    rows = df.select(F.col(key), at.cast("long").alias("rf_at"), (F.lit(0) if value is None else value).cast("long").alias("rf_value")).where("rf_at is not null")
+    dealt = rows.repartition(key).sortWithinPartitions(key, "rf_at")
+    schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in ("first", "due", "n", "total")]])
+    return dealt.mapInArrow(_chained(key, wait), schema)
+
+
+def _chained(key: str, wait: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, open_ = None, None  # of the open flush: key, first, due, n, total
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, at, value = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2).fill_null(0))
+            kind, done = keys.type, []
+            codes = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+            ends = [*(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(at)]
+            i, sums = 0, np.append(0, np.cumsum(value))
+            for end in ends:
+                name = keys[i].as_py()
+                if open_ and open_[0] != name:
+                    done.append(open_)
+                    open_ = None
+                while i < end:
+                    if open_ is None:
+                        open_ = (name, int(at[i]), int(at[i]) + wait, 0, 0)
+                    to = i + int(np.searchsorted(at[i:end], open_[2], side="right"))
+                    open_ = (*open_[:3], open_[3] + to - i, open_[4] + int(sums[to] - sums[i]))
+                    if to < end:
+                        done.append(open_)
+                        open_ = None
+                    i = to
+            if done:
+                yield _flushes(done, key, kind)
+        if open_:
+            yield _flushes([open_], key, kind)
+
+    return run
+
+
+def _flushes(rows: list[tuple], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    first, *rest = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(first, kind), *[pa.array(c, pa.int64()) for c in rest]], [key, "first", "due", "n", "total"])
+
+
+def time_buffer(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """Flush times of a buffer whose timer starts with the first row after a flush: ``key, flush_at, n``."""
+    flushed = flush_chain(df, key, F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000)
+    return flushed.select(key, F.timestamp_micros("due").alias("flush_at"), "n")
 
 
 def looping_ticks(df: DataFrame, key: str, ts: str, first_ms: int, every_ms: int) -> DataFrame:
@@ -70,11 +112,6 @@ def track_steps(df: DataFrame, key: str = "track") -> DataFrame:
     return moved.select(key, "ts0", F.col("ts").alias("ts1"), geo.distance(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")).alias("length"))
 
 
-def track_totals(df: DataFrame, key: str = "track") -> DataFrame:
-    """``key, length, duration`` (ms) of whole tracks."""
-    return track_steps(df, key).groupBy(key).agg(F.sum("length").alias("length"), (F.max("ts1") - F.min("ts0")).alias("duration"))
-
-
 def minute_metrics(df: DataFrame, key: str = "track", period_ms: int = 60_000) -> DataFrame:
     """Steps cut at period boundaries: ``key, ts`` (the segment's end), ``length``, ``duration``.  Uniform speed within a step."""
     steps = track_steps(df, key).where("ts1 > ts0")

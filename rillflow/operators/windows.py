@@ -38,3 +38,18 @@ def window_labels(df: DataFrame, size: str, step: str, ts: str = "ts") -> DataFr
     bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     steps = bounds.select(F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias(ts))
     return fixed(steps, size, ts).select("window_start", "window_end").distinct()
+
+
+def combined_time(how: str, ts: str = "ts") -> Column:
+    """The time of a window's result as an aggregate: ``LATEST`` or ``EARLIEST`` of its elements, or ``END_OF_WINDOW``, its last millisecond."""
+    if how == "END_OF_WINDOW":
+        return F.max(F.expr("window_end - interval 1 millisecond"))
+    return {"LATEST": F.max, "EARLIEST": F.min}[how](ts)
+
+
+def with_timestamp(df: DataFrame, at: Column, ts: str = "ts", skew: str | None = None) -> DataFrame:
+    """Elements put out with the time ``at``; one more than ``skew`` before its old time is an error (no ``skew``: any time is fine)."""
+    if skew is None:
+        return df.withColumn(ts, at)
+    ok = F.assert_true(at >= F.col(ts) - F.expr(f"interval {skew}"), f"a time is more than {skew} before the element's own")
+    return df.withColumn(ts, F.when(ok.isNull(), at))

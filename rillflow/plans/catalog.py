@@ -5,53 +5,28 @@ Arrival order in replay is a fixed permutation of ``event_id``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import text
 from rillflow.operators import aggregates, elements, joins, panes, stateful, windows
+from rillflow.plans import registry
+from rillflow.plans.registry import EVENTS, LONG, QUERIES, SHORT, SQL, TIES, Query, events, query, table
+from rillflow.plans.registry import flat as _flat
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
 
-    return add
+def _all() -> None:
+    from rillflow.plans import basics, replay  # noqa: F401  (they register theirs)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    _all()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with value in integer cents and a replay arrival number."""
-    e = table(spark, sf_dir, "events")
-    return e.withColumn("cents", F.round(F.col("value") * 100).cast("long")).withColumn("arrival", F.col("event_id") * 7919 % 1_000_003)
-
-
-_EVENTS = "e AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, event_id * 7919 % 1000003 AS arrival FROM events)"
-
-
-def _flat(df: DataFrame) -> DataFrame:
-    """Window bounds as the wall-clock time stamps that the tables use."""
-    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+    _all()
+    return dict(registry.SQL)
 
 
 def _word_count(separator: str):
@@ -59,9 +34,9 @@ def _word_count(separator: str):
 
 
 for _name, _sep in (("word_count", text.LETTER), ("word_count_w", text.WORD), ("word_count_ascii", text.ASCII)):
-    _QUERIES[_name] = _word_count(_sep)
+    QUERIES[_name] = _word_count(_sep)
     _quoted = _sep.replace("'", "''")
-    _SQL[_name] = f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '{_quoted}')) AS word FROM documents) WHERE word <> '' GROUP BY word"
+    SQL[_name] = f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '{_quoted}')) AS word FROM documents) WHERE word <> '' GROUP BY word"
 
 
 @query(r"""
@@ -120,7 +95,7 @@ def latest_per_key(spark, sf_dir):
     return aggregates.latest(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003, event_id) AS r FROM events) WHERE r <= 3")
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 1327217885 % 2147483648, event_id) AS r FROM events) WHERE r <= 3")
 def sample_per_key(spark, sf_dir):
     return elements.sample_per_key(events(spark, sf_dir), "user_id", 3, ["arrival", "event_id"]).select("user_id", "event_id")
 
@@ -174,25 +149,25 @@ def window_labels(spark, sf_dir):
     return windows.window_labels(table(spark, sf_dir, "events"), "1 hour", "30 minutes")
 
 
-@query(f"""WITH {_EVENTS} SELECT event_id, (sum(length(event_type)) OVER w)::DOUBLE / count(*) OVER w AS avg_length FROM e WINDOW w AS (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {EVENTS} SELECT event_id, (sum(length(event_type)) OVER w)::DOUBLE / count(*) OVER w AS avg_length FROM e WINDOW w AS (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def avg_length_running(spark, sf_dir):
-    r = panes.running(events(spark, sf_dir), "arrival", {"s": panes.running_sum(F.length("event_type")), "n": panes.running_sum(F.lit(1))})
+    r = panes.running(events(spark, sf_dir), "arrival", {"s": panes.running_sum(F.length("event_type")), "n": panes.running_sum(F.lit(1))}, ties=TIES)
     return r.select("event_id", (F.col("s") / F.col("n")).alias("avg_length"))
 
 
-@query(f"""WITH {_EVENTS}, k AS (SELECT event_id, arrival, lpad(CAST(length(event_type) AS VARCHAR), 6, '0') || event_type AS k FROM e)
-SELECT event_id, substr(max(k) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS longest FROM k""")
+@query(f"""WITH {EVENTS}, k AS (SELECT event_id, arrival, lpad(CAST(length(event_type) AS VARCHAR), 6, '0') || event_type AS k FROM e)
+SELECT event_id, substr(max(k) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS longest FROM k""")
 def longest_word_running(spark, sf_dir):
     k = events(spark, sf_dir).withColumn("k", F.struct(F.length("event_type").alias("n"), F.col("event_type").alias("w")))
-    return panes.running(k.select("event_id", "arrival", "k"), "arrival", {"m": panes.running_max("k")}).select("event_id", F.col("m.w").alias("longest"))
+    return panes.running(k.select("event_id", "arrival", "k"), "arrival", {"m": panes.running_max("k")}, ties=TIES).select("event_id", F.col("m.w").alias("longest"))
 
 
 def _arrived(spark, sf_dir) -> DataFrame:
-    return windows.fixed(panes.with_watermark(events(spark, sf_dir), "arrival"), "20 hours")
+    return windows.fixed(panes.with_watermark(events(spark, sf_dir), "arrival", ties=TIES), "20 hours")
 
 
-_ARRIVED = f"""{_EVENTS}, a AS (SELECT *, time_bucket(INTERVAL 20 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 20 HOUR AS window_end,
-max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM e),
+_ARRIVED = f"""{EVENTS}, a AS (SELECT *, time_bucket(INTERVAL 20 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 20 HOUR AS window_end,
+max(ts) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM e),
 t AS (SELECT *, CASE WHEN coalesce(window_end + INTERVAL 24 HOUR <= watermark, false) THEN 'droppable' ELSE 'main' END AS tag FROM a)"""
 
 
@@ -201,25 +176,25 @@ def late_split(spark, sf_dir):
     return panes.late_split(_arrived(spark, sf_dir), "24 hours").select("event_id", "tag")
 
 
-@query(f"""WITH {_ARRIVED}, m AS (SELECT event_type, window_end, CASE WHEN coalesce(window_end <= watermark, false) THEN 'LATE' ELSE 'EARLY' END AS pane_timing, arrival // 50000 AS period, sum(cents)::BIGINT AS delta FROM t WHERE tag = 'main' GROUP BY ALL)
+@query(f"""WITH {_ARRIVED}, m AS (SELECT event_type, window_end, CASE WHEN coalesce(window_end <= watermark, false) THEN 'LATE' ELSE 'EARLY' END AS pane_timing, arrival // {SHORT} AS period, sum(cents)::BIGINT AS delta FROM t WHERE tag = 'main' GROUP BY ALL)
 SELECT event_type, window_end, pane_timing, period, (sum(delta) OVER (PARTITION BY event_type, window_end ORDER BY pane_timing, period))::BIGINT AS total FROM m
 UNION ALL SELECT event_type, window_end, 'ON_TIME', max(period), sum(delta)::BIGINT FROM m WHERE pane_timing = 'EARLY' GROUP BY ALL""")
 def team_score_panes(spark, sf_dir):
-    every = F.expr("arrival div 50000")
+    every = F.expr(f"arrival div {SHORT}")
     return panes.timed_panes(_arrived(spark, sf_dir), ["event_type", "window_end"], "cents", "24 hours", every)
 
 
-@query(f"WITH {_EVENTS} SELECT user_id, period, (sum(d) OVER (PARTITION BY user_id ORDER BY period))::BIGINT AS total FROM (SELECT user_id, arrival // 200000 AS period, sum(cents) AS d FROM e GROUP BY ALL)")
+@query(f"WITH {EVENTS} SELECT user_id, period, (sum(d) OVER (PARTITION BY user_id ORDER BY period))::BIGINT AS total FROM (SELECT user_id, arrival // {LONG} AS period, sum(cents) AS d FROM e GROUP BY ALL)")
 def user_score_panes(spark, sf_dir):
-    return panes.period_panes(events(spark, sf_dir), ["user_id"], "cents", F.expr("arrival div 200000"))
+    return panes.period_panes(events(spark, sf_dir), ["user_id"], "cents", F.expr(f"arrival div {LONG}"))
 
 
-@query(f"WITH {_EVENTS} SELECT user_id, arrival // 200000 AS period, sum(cents)::BIGINT AS total FROM e GROUP BY ALL")
+@query(f"WITH {EVENTS} SELECT user_id, arrival // {LONG} AS period, sum(cents)::BIGINT AS total FROM e GROUP BY ALL")
 def discarding_panes(spark, sf_dir):
-    return panes.period_panes(events(spark, sf_dir), ["user_id"], "cents", F.expr("arrival div 200000"), accumulating=False)
+    return panes.period_panes(events(spark, sf_dir), ["user_id"], "cents", F.expr(f"arrival div {LONG}"), accumulating=False)
 
 
-@query(f"WITH {_EVENTS} SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, sum(cents)::BIGINT AS total FROM e GROUP BY ALL")
+@query(f"WITH {EVENTS} SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, sum(cents)::BIGINT AS total FROM e GROUP BY ALL")
 def score_board_map(spark, sf_dir):
     board = aggregates.score_board(windows.fixed(events(spark, sf_dir), "1 day"), "event_type", "cents", ["window_start"])
     return board.select("window_start", F.explode("board").alias("event_type", "total"))
@@ -241,7 +216,7 @@ def size_batches_rpc(spark, sf_dir):
   UNION ALL SELECT f.user_id, (SELECT min(ts) FROM events e WHERE e.user_id = f.user_id AND e.ts > f.a + INTERVAL 1 DAY) FROM f WHERE f.a IS NOT NULL)
 SELECT f.user_id, f.a + INTERVAL 1 DAY AS flush_at, count(*) AS n FROM f JOIN events e ON e.user_id = f.user_id AND e.ts >= f.a AND e.ts <= f.a + INTERVAL 1 DAY WHERE f.a IS NOT NULL GROUP BY ALL""")
 def time_buffer_flush(spark, sf_dir):
-    return _flat(stateful.time_buffer(table(spark, sf_dir, "events"), "user_id", "ts", 86_400, "event_id"))
+    return _flat(stateful.time_buffer(table(spark, sf_dir, "events"), "user_id", "ts", 86_400))
 
 
 @query("""WITH s AS (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM (SELECT event_type, date_trunc('millisecond', ts) AS ts FROM events) GROUP BY 1)
@@ -380,6 +355,8 @@ def notification_messages(spark, sf_dir):
     return notifications(e)
 
 
-@query()
+@query("SELECT true AS near_pi, 4000000 AS samples")
 def pi_estimate(spark, sf_dir):
-    return aggregates.pi_estimate(spark, 1_000_000)
+    """Whether the estimate is within ten standard deviations (4 * sqrt(p * (1 - p) / n) with p = pi / 4) of pi."""
+    estimate = aggregates.pi_estimate(spark, 4_000_000)
+    return estimate.select((F.abs(F.col("pi") - F.pi()) < 10 * 1.6422 / 2000).alias("near_pi"), F.lit(4_000_000).alias("samples"))

@@ -14,11 +14,47 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> DataFrame:
-    """Files as pieces of ``size`` bytes: ``path, chunk, content``."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    parts = files.select("path", "content", F.posexplode(F.expr(f"sequence(1L, length, {size}L)")).alias("chunk", "start"))
-    return parts.select("path", "chunk", F.expr(f"substring(content, cast(start as int), {size})").alias("content"))
+def chunks(spark: SparkSession, path: str, size: int = 1 << 20, split: int = 32 << 20) -> DataFrame:
+    """Files as pieces of ``size`` bytes: ``path, start, content``.  A file is read in ranges of ``split`` bytes, by many tasks."""
+    return _ranges(spark).option("path", path).option("size", size).option("split", split).load()
+
+
+def line_ranges(spark: SparkSession, path: str, split: int = 32 << 20, encoding: str = "utf-8") -> DataFrame:
+    """Files as lines ``path, start, value``; a line belongs to the range that holds its first byte."""
+    return _ranges(spark).option("path", path).option("mode", "lines").option("split", split).option("encoding", encoding).load()
+
+
+def _ranges(spark: SparkSession):
+    from rillflow.sources.ranges import FileRangeSource
+
+    spark.dataSource.register(FileRangeSource)
+    return spark.read.format("file_ranges")
+
+
+def read_all(spark: SparkSession, patterns: DataFrame, col: str = "pattern", most: int = 10_000) -> DataFrame:
+    """Lines of all files that match the globs in a column, read anew at every call: ``path, value``.
+
+    The globs are the driver's (``most`` at most, or it is an error); a glob without files gives none.
+    """
+    globs = [r[0] for r in patterns.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(globs) > most:
+        raise ValueError(f"more than {most} globs")
+    found = [p for p in globs if _matches(spark, p)]
+    if not found:
+        return spark.createDataFrame([], "path string, value string")
+    return spark.read.text(found).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.text(pattern)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return True
 
 
 def watch_directory(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -57,6 +93,24 @@ def ticks(spark: SparkSession, per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
+def impulse(spark: SparkSession) -> DataFrame:
+    """One empty element: ``value``."""
+    return spark.range(1).select(F.lit("").alias("value"))
+
+
+def periodic_impulse(spark: SparkSession, start_ms: int, stop_ms: int, every_ms: int) -> DataFrame:
+    """An element ``ts`` at the start and every ``every_ms`` after it, up to and with the stop."""
+    return spark.range(start_ms, stop_ms + 1, every_ms).select(F.timestamp_millis("id").alias("ts"))
+
+
+def counting(spark: SparkSession, **options) -> DataFrame:
+    """A stream of numbers ``i`` from ``start``, ``per_batch`` a micro-batch, to ``stop`` if given."""
+    from rillflow.sources.ranges import CountingStream
+
+    spark.dataSource.register(CountingStream)
+    return spark.readStream.format("counting").options(**{k: str(v) for k, v in options.items()}).load()
+
+
 def random_scores(spark: SparkSession, names: list[str], n: int, seed: int = 0) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(x) for x in names]), (F.rand(seed) * len(names)).cast("int") + 1)
     return spark.range(n).select(pick.alias("name"), (F.rand(seed + 1) * 100).cast("int").alias("score"))
@@ -71,12 +125,12 @@ def transactions(spark: SparkSession, n: int, users: int = 2000, seed: int = 0)
     )
 
 
-def script(spark: SparkSession, folder: str, batches: Iterable[list[tuple]], schema: str) -> DataFrame:
-    """A stream that gives each list of rows as one micro-batch (a file each, in order)."""
+def script(spark: SparkSession, folder: str, batches: Iterable[list[tuple]], schema: str, first: int = 0) -> DataFrame:
+    """A stream that gives each list of rows as one micro-batch (a file each, in order, numbered from ``first``)."""
     import os
     import time
 
-    for i, rows in enumerate(batches):
+    for i, rows in enumerate(batches, first):
         tmp = f"{folder}/.tmp-{i}"
         spark.createDataFrame(rows, schema).coalesce(1).write.json(tmp, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
         part = next(x for x in os.listdir(tmp) if x.startswith("part-"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,46 +15,89 @@ def write_counts(df: DataFrame, path: str, key: str, value: str) -> None:
     df.select(format_count(F.col(key), F.col(value)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_window_files(df: DataFrame, path: str, line: str, prefix: str = "output", shards: int = 1) -> None:
-    """One set of ``shards`` files per window: folders ``prefix-HH:mm-HH:mm``, shards dealt by the line's hash.
+def write_window_files(df: DataFrame, path: str, line: str, prefix: str = "output", shards: int = 1) -> list[str]:
+    """``shards`` files per window, ``<day>/prefix-HH:mm-HH:mm-<shard>-of-<shards>``; returns their names.
 
-    Rows need ``window_start`` and ``window_end``; a row without them is an error.
+    Rows need ``window_start`` and ``window_end``; a row without them is an error.  Lines
+    are dealt by their hash.  Files appear under their names by renames on the driver,
+    one for each, after all of them are written.
     """
     bounds = F.concat(F.lit(f"{prefix}-"), F.date_format("window_start", "HH:mm"), F.lit("-"), F.date_format("window_end", "HH:mm"))
     day = F.date_format("window_start", "yyyy-MM-dd")
     named = df.select(F.col(line).alias("value"), F.when(F.assert_true(F.col("window_end").isNotNull(), "rows without a window").isNull(), bounds).alias("window"), day.alias("day"), F.pmod(F.xxhash64(line), F.lit(shards)).alias("shard"))
-    named.repartition("day", "window", "shard").write.mode("overwrite").partitionBy("day", "window", "shard").text(path)
+    spark, held = df.sparkSession, f"{path}/.parts-{uuid.uuid4().hex}"
+    named.repartition("day", "window", "shard").write.partitionBy("day", "window", "shard").text(held)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, names = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    if fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # checksum files can't have a colon in their names
+    files = spark.read.text(held).select(F.col("_metadata.file_path").alias("f"), "day", "window", "shard").distinct().collect() if named.limit(1).count() else []
+    for r in files:
+        name = f"{r['day']}/{r['window']}-{r['shard']}-of-{shards}"
+        fs.mkdirs(at(f"{path}/{r['day']}"))
+        fs.delete(at(f"{path}/{name}"), False)
+        fs.rename(at(spark._jvm.java.net.URI(r["f"])), at(f"{path}/{name}"))
+        names.append(name)
+    fs.delete(at(held), True)
+    return sorted(names)
 
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
-def upsert(df: DataFrame, path: str, key: str, order: str | None = None) -> None:
-    """Rows of ``df`` replace those of the same key in the table at ``path``.
+def upsert(df: DataFrame, path: str, key: str, order: str | None = None, tries: int = 3) -> int:
+    """Rows of ``df`` replace those of the same key in the table at ``path``; returns the new version, which :func:`read_upserted` gives.
 
-    Versions are folders; the new one becomes current with the rename of a pointer, so
-    a failed or repeated call leaves the table whole.
+    Each version is a folder and a pointer to it, numbered one higher than the last.  The
+    pointer is written last and never replaced, so a call that fails anywhere leaves the
+    version before whole, and of two calls at once one fails and is tried again on top of
+    the other, ``tries`` times in all.  The returned number is the signal that all is stored.
     """
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order or F.xxhash64(*df.columns)).alias("r")).select("r.*")
-    pointer = f"{path}/current"
-    if fs.exists(fs_path(pointer)):
-        old = spark.read.parquet(read_pointer(spark, path))
-        new = new.unionByName(old.join(new, key, "left_anti"))
-    version = f"v-{uuid.uuid4().hex}"
-    new.write.parquet(f"{path}/{version}")
-    out = fs.create(fs_path(f"{pointer}.tmp"), True)
-    out.write(version.encode())
-    out.close()
-    fs.delete(fs_path(pointer), False)
-    fs.rename(fs_path(f"{pointer}.tmp"), fs_path(pointer))
-
-
-def read_pointer(spark, path: str) -> str:
-    return f"{path}/{spark.read.text(f'{path}/current').first()[0]}"
+    latest = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order or F.xxhash64(*df.columns)).alias("r")).select("r.*")
+    for left in range(tries - 1, -1, -1):
+        try:
+            before, new = _version(spark, path), latest
+            if before:
+                old = spark.read.parquet(f"{path}/{before[1]}")
+                new = new.unionByName(old.join(new, key, "left_anti"))
+            folder, n = f"v-{uuid.uuid4().hex}", before[0] + 1 if before else 1
+            new.write.parquet(f"{path}/{folder}")
+            spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(f"{path}/at/n={n}")
+            return n
+        except Exception:
+            if not left:
+                raise
+    raise ValueError("tries has to be 1 at least")
+
+
+def _version(spark, path: str) -> tuple[int, str] | None:
+    """Number and folder of the version with the highest pointer."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.text(f"{path}/at").orderBy(F.desc(F.col("n").cast("long"))).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return None if found is None else (int(found["n"]), found["value"])
+
+
+def read_upserted(spark, path: str) -> DataFrame:
+    """The current version of a table that :func:`upsert` writes."""
+    found = _version(spark, path)
+    if found is None:
+        raise ValueError(f"no version at {path}")
+    return spark.read.parquet(f"{path}/{found[1]}")
+
+
+def wait_on(signals, start):
+    """``start()`` after all of ``signals`` (functions, such as a load that returns when its rows are stored) have come back."""
+    for signal in signals:
+        signal()
+    return start()
 
 
 def write_stream(df: DataFrame, checkpoint: str, sink, trigger: dict | None = None, mode: str = "append"):
@@ -64,6 +106,11 @@ def write_stream(df: DataFrame, checkpoint: str, sink, trigger: dict | None = No
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def write_values(df: DataFrame, col: str, fmt: str = "kafka", **options: str) -> None:
+    """A column of any type as message values, written as its text; a null is a message without a value."""
+    df.select(F.col(col).cast("string").alias("value")).write.format(fmt).options(**options).save()
+
+
 def bus_sink(fmt: str = "kafka", **options: str):
     return lambda batch, _: batch.write.format(fmt).options(**options).save()
 
@@ -79,7 +126,3 @@ def notifications(df: DataFrame, key: str = "track", faster: str = "faster") ->
 def tap(df: DataFrame, name: str, **metrics) -> DataFrame:
     """``df`` unchanged, with metrics observed on the way (read them from an ``Observation`` or a query listener)."""
     return df.observe(name, *[v.alias(k) for k, v in metrics.items()])
-
-
-def local_size(path: str) -> int:
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
