@@ -13,8 +13,8 @@
    them (a list of a single common shingle would be as long as the corpus): sets with a
    similarity s share a run with probability s^DEPTH, all but 0.59^28 (4e-7) of the
    pairs at 0.8 share one or more.
-4. First each list links its members to one of them, chosen by hash, so other lists
-   choose others; what is linked is merged into components.  Then only pairs of one list
+4. First each list links its members to one of them, the first in one of a few orders;
+   what is linked is merged into components.  Then only pairs of one list
    in different components are looked at, inside blocks of lists and in numpy: a pair
    becomes a row only if it passes the estimate.
 5. The union-sketch estimate drops pairs below the threshold with a wide margin (it is
@@ -24,7 +24,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -49,7 +49,8 @@ HUB_SKETCH, HUB_MARGIN = 64, 0.7
 BLOCK = 1024
 #: Pairs whose sketches are compared at once, in arrays of 3 MB each.
 STEP = 2048
-HUB_ROUNDS = 1
+#: Orders by which lists choose members: near copies share most of their lists, and so they link to about so many of them.
+HUB_ROUNDS, HUBS = 1, 4
 _PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -201,20 +202,40 @@ def _estimate(percent: int):
     return run
 
 
+def _first_common(rows: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that tells of which pairs of rows the list at hand is the first of those that they share: a pair counts once."""
+    run, lists = np.asarray(rows.column("run")), rows.column("keys")
+    size = np.asarray(lists.value_lengths(), np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    keys = np.full((len(size), int(size.max(initial=0))), np.iinfo(np.int64).max)
+    keys[owner, np.arange(len(owner)) - (np.cumsum(size) - size)[owner]] = np.asarray(lists.flatten(), np.int64)
+
+    def test(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), bool)
+        for at in range(0, len(p), STEP // 4):
+            k = slice(at, at + STEP // 4)
+            a, b = keys[p[k]], keys[q[k]]
+            shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
+            out[k] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == run[p[k]]
+        return out
+
+    return test
+
+
 def _list_pairs(rows: pa.RecordBatch, group: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Likely pairs of the same group (a block, or a pair of blocks, of a list) whose members are in different components.
 
     A group's rows are sorted by size, so each row meets those after it until they are too large.
     """
     x, label, n, own, bi, bj = (np.asarray(rows.column(k)) for k in ("x", "label", "n", "own", "bi", "bj"))
-    sketches, k, d = _matrix(rows.column("sketch")), np.arange(len(x)), 1
+    sketches, first, k, d = _matrix(rows.column("sketch")), _first_common(rows), np.arange(len(x)), 1
     while len(k):
         k = k[k + d < len(x)]
         k = k[(group[k] == group[k + d]) & (100 * n[k] >= percent * n[k + d])]
         open_ = (label[k] != label[k + d]) & (x[k] != x[k + d]) & ((bi[k] == bj[k]) | (own[k] != own[k + d]))
         p = k[open_]
-        ok = likely(sketches[p], sketches[p + d], n[p], n[p + d], percent)
-        p = p[ok]
+        p = p[first(p, p + d)]
+        p = p[likely(sketches[p], sketches[p + d], n[p], n[p + d], percent)]
         if len(p):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], x[p + d])), pa.array(np.maximum(x[p], x[p + d]))], ["x", "y"])
         d += 1
@@ -290,7 +311,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, label = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
     for turn in range(HUB_ROUNDS):
         at = _labelled(lists, label)
-        hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64("run", "x", F.lit(turn))).alias("hub")).where("lo <> hi")
+        hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64(F.pmod("run", F.lit(HUBS)), "x", F.lit(turn))).alias("hub")).where("lo <> hi")
         pairs = at.join(hubs.select("run", "hub.*"), "run").where("label <> other")
         pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         near = only(sketches, "doc_id", _ends(pairs))
@@ -304,7 +325,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = at.join(open_.select("run", blocks.alias("blocks")), "run").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj")))
     dealt = cut(members.select("run", "x", "label", "own", F.inline(meets)))
-    payload = only(known.select(F.col("doc_id").alias("x"), "n", "sketch"), "x", cut(dealt.select("x").distinct())).dropDuplicates(["x"])
+    keys = cut(dealt.groupBy("x").agg(F.collect_set("run").alias("keys")))
+    payload = only(known.select(F.col("doc_id").alias("x"), "n", "sketch"), "x", keys).join(keys, "x").dropDuplicates(["x"])
     wide = dealt.join(payload, "x")
     sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "n")
     guessed = cut(sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct())
