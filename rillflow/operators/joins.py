@@ -30,12 +30,17 @@ def window_side_join(main: DataFrame, side: DataFrame, side_size_ms: int, keys:
 
 
 def as_of(df: DataFrame, states: DataFrame, key: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Each row with the latest state of its key at or before its time (a slowly changing side input)."""
-    from pyspark.sql import Window
+    """Each row with the latest state of its key at or before its time (a slowly changing side input).
+
+    Of states of one time the greatest counts.  The latest state is carried over hours, so
+    a key may hold any share of the rows.
+    """
+    from rillflow.operators import panes
 
-    both = df.withColumn("rf_row", F.lit(1)).unionByName(states.select(key, ts, F.col(value).alias("rf_state")).withColumn("rf_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(ts, "rf_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("state", F.last("rf_state", ignorenulls=True).over(w)).where("rf_row = 1").drop("rf_row", "rf_state")
+    seen = states.select(key, ts, F.struct(F.col(ts).alias("at"), F.col(value).alias("state")).alias("rf_state")).withColumn("rf_row", F.lit(0))
+    both = df.withColumn("rf_row", F.lit(1)).unionByName(seen, allowMissingColumns=True)
+    last = panes.running(both, ts, {"rf_last": panes.running_max("rf_state")}, ties=["rf_row"], keys=[key])
+    return last.where("rf_row = 1").select(*df.columns, F.col("rf_last.state").alias("state"))
 
 
 def rpc_lookup(df: DataFrame, col: str, client, out: str, out_type: str, batch: int = 100) -> DataFrame:

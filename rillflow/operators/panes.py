@@ -8,27 +8,38 @@ task holds the whole stream.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def running(df: DataFrame, arrival: str, out: dict[str, tuple], bucket: int = 1 << 21, include_current: bool = True, ties: list[str] = ()) -> DataFrame:
-    """Running aggregates over all rows in order of the integer column ``arrival``, then of ``ties``.
+def bucket_of(df: DataFrame, col: str, width: int | None = None) -> Column:
+    """A coarse number that rises with a column: hours of a time, ``width`` (2^21) of a whole number; one bucket for other types."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / (width or 3_600_000_000))
+    return F.floor(F.col(col) / (width or 1 << 21)) if isinstance(kind, T.IntegralType) else F.lit(0)
+
+
+def running(df: DataFrame, arrival: str, out: dict[str, tuple], bucket: int | None = None, include_current: bool = True, ties: list[str | Column] = (), keys: list[str] = ()) -> DataFrame:
+    """Running aggregates over all rows, or those of each of ``keys``, in order of the column ``arrival``, then of ``ties``.
 
     ``out`` maps a column to (partial, merge, join): aggregates over rows and over their
     partial results, and a function of two partial results.  Rows are summed up per
-    ``bucket`` arrivals, the sums are carried over the buckets, and only a bucket is
-    ordered in one task.
+    bucket of arrivals (:func:`bucket_of`), the sums are carried over the buckets, and
+    only a bucket is ordered in one task, so a key may hold any share of all rows.
     """
     b = "rf_bucket"
-    d = df.withColumn(b, F.floor(F.col(arrival) / bucket))
-    totals = d.groupBy(b).agg(*[p.alias(f"rf_t_{k}") for k, (p, _, _) in out.items()])
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    carried = totals.select(b, *[m(F.col(f"rf_t_{k}")).over(before).alias(f"rf_c_{k}") for k, (_, m, _) in out.items()])
-    within = Window.partitionBy(b).orderBy(arrival, *ties).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    seen = d.join(carried, b).select(*df.columns, *[f"rf_c_{k}" for k in out], *[p.over(within).alias(f"rf_w_{k}") for k, (p, _, _) in out.items()])
-    return seen.select(*df.columns, *[join(F.col(f"rf_c_{k}"), F.col(f"rf_w_{k}")).alias(k) for k, (_, _, join) in out.items()])
+    d = df.withColumn(b, bucket_of(df, arrival, bucket))
+    totals = d.groupBy(*keys, b).agg(*[p.alias(f"rf_t_{k}") for k, (p, _, _) in out.items()])
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    carried = totals.select(*[F.col(k).alias(f"rf_k_{k}") for k in keys], F.col(b).alias("rf_b"), *[m(F.col(f"rf_t_{k}")).over(before).alias(f"rf_c_{k}") for k, (_, m, _) in out.items()])
+    within = Window.partitionBy(*keys, b).orderBy(arrival, *ties).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"rf_k_{k}")) for k in keys], F.col(b).eqNullSafe(F.col("rf_b")))
+    seen = d.select(*df.columns, b, *[p.over(within).alias(f"rf_w_{k}") for k, (p, _, _) in out.items()]).join(carried, same)
+    return seen.select(*[c for c in df.columns if c not in out], *[join(F.col(f"rf_c_{k}"), F.col(f"rf_w_{k}")).alias(k) for k, (_, _, join) in out.items()])
 
 
 def _add(a: Column, b: Column) -> Column:

@@ -6,23 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillflow.operators import panes
+
+HOUR_MS = 3_600_000
+
+
+def _numbered(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """``out``: the number of a row among its key's, from 0.  A key's rows are counted by buckets of the first order column."""
+    return panes.running(df, order[0], {out: panes.running_sum(F.lit(1))}, include_current=False, ties=order[1:], keys=[key])
+
 
 def count_buffer(df: DataFrame, key: str, order: list[str], sizes: dict[str, int], default: int) -> DataFrame:
     """Rows flushed from a buffer per key that empties when full, with their ``batch`` number; what doesn't fill one stays unflushed."""
     size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(key)) if sizes else F.lit(None), F.lit(default))
-    per_key = Window.partitionBy(key)
-    d = df.withColumn("rf_n", F.count(F.lit(1)).over(per_key)).withColumn("rf_i", F.row_number().over(per_key.orderBy(*order)) - 1).withColumn("rf_size", size)
-    return d.withColumn("batch", F.expr("rf_i div rf_size")).where("(batch + 1) * rf_size <= rf_n").drop("rf_n", "rf_i", "rf_size")
+    total = df.groupBy(F.col(key).alias("rf_key")).agg(F.count(F.lit(1)).alias("rf_n"))
+    d = _numbered(df, key, order, "rf_i").withColumn("rf_size", size).join(total, F.col(key).eqNullSafe(F.col("rf_key")))
+    return d.withColumn("batch", F.expr("rf_i div rf_size")).where("(batch + 1) * rf_size <= rf_n").select(*df.columns, "batch")
 
 
 def size_batches(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """``batch`` numbers of a batcher per key; the last batch, flushed at the end of time, may be smaller."""
-    i = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.withColumn("batch", (i / size).cast("long"))
+    return _numbered(df, key, order, "rf_i").withColumn("batch", F.expr(f"rf_i div {size}")).drop("rf_i")
 
 
 def flush_chain(df: DataFrame, key: str, at: Column, wait: int, value: Column | None = None) -> DataFrame:
@@ -92,9 +100,8 @@ def looping_ticks(df: DataFrame, key: str, ts: str, first_ms: int, every_ms: int
 
 
 def running_value(df: DataFrame, key: str, price: str, order: list[str], seed: DataFrame | None = None) -> DataFrame:
-    """Each row with its key's running ``total`` and ``cnt``, on top of a seed table ``key, total, cnt``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("total", F.sum(price).over(w)).withColumn("cnt", F.count(F.lit(1)).over(w))
+    """Each row with its key's running ``total`` and ``cnt``, on top of a seed table ``key, total, cnt`` (one row a key)."""
+    out = panes.running(df, order[0], {"total": panes.running_sum(price), "cnt": panes.running_sum(F.lit(1))}, ties=order[1:], keys=[key])
     if seed is None:
         return out
     s = seed.select(key, F.col("total").alias("rf_total"), F.col("cnt").alias("rf_cnt"))
@@ -103,13 +110,17 @@ def running_value(df: DataFrame, key: str, price: str, order: list[str], seed: D
 
 
 def track_steps(df: DataFrame, key: str = "track") -> DataFrame:
-    """Consecutive positions of each track: ``key, ts0, ts1`` (ms) and the ``length`` between them."""
+    """Consecutive positions of each track: ``key, ts0, ts1`` (ms) and the ``length`` between them.
+
+    The position before one is the greatest of those before it, so it is found like any
+    running value, by buckets of time.
+    """
     from rillflow.functions import geo
 
-    w = Window.partitionBy(key).orderBy("ts", "lat", "lon")
-    d = df.withColumn("lat0", F.lag("lat").over(w)).withColumn("lon0", F.lag("lon").over(w)).withColumn("ts0", F.lag("ts").over(w))
-    moved = d.where("ts0 is not null")
-    return moved.select(key, "ts0", F.col("ts").alias("ts1"), geo.distance(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")).alias("length"))
+    at = F.struct("ts", "lat", "lon")
+    d = panes.running(df.select(key, "ts", "lat", "lon"), "ts", {"rf_before": panes.running_max(at)}, bucket=HOUR_MS, include_current=False, ties=["lat", "lon"], keys=[key])
+    moved = d.where("rf_before is not null")
+    return moved.select(key, F.col("rf_before.ts").alias("ts0"), F.col("ts").alias("ts1"), geo.distance(F.col("rf_before.lat"), F.col("rf_before.lon"), F.col("lat"), F.col("lon")).alias("length"))
 
 
 def minute_metrics(df: DataFrame, key: str = "track", period_ms: int = 60_000) -> DataFrame:
