@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, gapless
+from rillflow.llm.words import slices
 
 SEQUENCE, END_ID = 2048, 1
 #: Remainders are rounded up to classes of so many tokens: 256 classes, 3.5 tokens of padding a piece on average.
@@ -76,7 +77,7 @@ def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path)
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = encoder.text(text.as_py() or "") + last
@@ -169,18 +170,20 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     histogram = {r["rf_class"]: r["n"] for r in classed.groupBy("rf_class").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, whole = sum(histogram.values()), histogram.pop(0, 0)
     classes = sorted(histogram)
-    places, base, ranked = [(0, 0, max(whole, 1), 0, 1)], whole, dict.fromkeys(classes, 0)
+    # of each class the ranks from which a pattern takes over, its first sequence and its places in one
+    places, base, ranked = {0: [(0, 0, 1)]}, whole, dict.fromkeys(classes, 0)
     for times, fill in cutting_stock(classes, [histogram[c] for c in classes], size // grain):
         for c, k in fill.items():
-            places.append((c, ranked[c], ranked[c] + times * k, base, k))
+            places.setdefault(c, []).append((ranked[c], base, k))
             ranked[c] += times * k
         base += times
     spark = docs.sparkSession
-    # at most as many rows as patterns have entries, which the number of classes bounds
-    table = F.broadcast(spark.createDataFrame(places, "rf_class int, rf_from long, rf_to long, rf_base long, rf_each long"))
+    # one row a class, at most ``size / grain`` of them; patterns have as many entries as classes at most
+    table = F.broadcast(spark.createDataFrame([(c, *map(list, zip(*p))) for c, p in places.items()], "rf_class int, rf_from array<long>, rf_base array<long>, rf_each array<long>"))
     rank = gapless(classed, ["rf_class"], ["doc_id", "start"], "rf_rank", total).withColumn("rf_rank", F.col("rf_rank").cast("long"))
-    placed = rank.join(table, "rf_class").where("rf_rank >= rf_from and rf_rank < rf_to")
-    placed = placed.withColumn("sequence_id", F.expr("rf_base + (rf_rank - rf_from) div rf_each"))
+    at = F.size(F.filter("rf_from", lambda f: f <= F.col("rf_rank"))) - 1
+    placed = rank.join(table, "rf_class").withColumn("rf_at", at)
+    placed = placed.withColumn("sequence_id", F.expr("get(rf_base, rf_at) + (rf_rank - get(rf_from, rf_at)) div get(rf_each, rf_at)"))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rf_class", "rf_rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset)

@@ -146,6 +146,19 @@ def test_packing(spark):
     assert pack(none(spark), P.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_encoder():
+    """Word by word as the tokenizer has it in one go, on texts rich in white space and special tokens."""
+    from rillflow.llm.packing import _Encoder
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), _Encoder(P.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(9)
+    bits = [" ", " ", "  ", "\n", "\n \n", "\t", "\u00a0", "\u3000", "the", "'s", " 've", "12", "a", "Été", "ß", "\U0001f600", "...", "-", "<|endoftext|>", "<|endoftext", "\r\n", "\x00", "x" * 50]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, rng.integers(0, 12)))
+        assert np.frombuffer(own.text(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_cutting_stock():
     plan = cutting_stock([5, 4, 3], [100, 100, 100], 10)
     for size, n in ((5, 100), (4, 100), (3, 100)):
