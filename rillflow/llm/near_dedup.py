@@ -50,7 +50,7 @@ BLOCK = 1024
 #: Pairs whose sketches are compared at once, in arrays of 3 MB each.
 STEP = 2048
 #: Orders by which lists choose members: near copies share most of their lists, and so they link to about so many of them.
-HUB_ROUNDS, HUBS = 1, 4
+HUB_ROUNDS, HUBS = 2, 4
 _PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -121,7 +121,7 @@ def _bucket(v: np.ndarray) -> np.ndarray:
 
 
 def _rarest(counts: np.ndarray, percent: int):
-    """Rows ``x, run``: the lists of each small set, by its rarest values and by bands of sizes."""
+    """Rows ``x, run, own``: the lists of each small set, by its rarest values, in its own band of sizes and the next."""
     base = np.log(100 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def _rarest(counts: np.ndarray, percent: int):
             band = np.floor(np.log(n[owner]) / base).astype(np.int64)
             keys = np.concatenate([combine(v, (band + k).astype(U)) for k in (0, 1)])
             x = np.asarray(batch.column("x"), np.int64)[np.concatenate([owner, owner])]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(keys.view(np.int64))], ["x", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(keys.view(np.int64)), pa.array(np.arange(len(x)) < len(owner))], ["x", "run", "own"])
 
     return run
 
@@ -149,15 +149,21 @@ def _buckets_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _list_keys(known: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``x, run``: in which lists each representative is."""
+    """Distinct ``x, run`` of the lists with two representatives or more, one of them in the list's own band.
+
+    A list without such a one has only pairs that meet in the band below, too.  Most lists
+    have one member, so what is left is a small part.
+    """
     whole = known.where(F.col("n") <= SMALL).select(F.col("doc_id").alias("x"), "n", "low")
     # at most BUCKETS rows, whatever the input
     rows = whole.select("low").mapInArrow(_buckets_only, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(BUCKETS, np.int64)
     counts[[r["bucket"] for r in rows]] = [r["n"] for r in rows]
-    few = whole.mapInArrow(_rarest(counts, percent), "x long, run long")
-    many = known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run"))
-    return few.unionByName(many).distinct()
+    few = whole.mapInArrow(_rarest(counts, percent), "x long, run long, own boolean")
+    many = known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run"), F.lit(True).alias("own"))
+    every = cut(few.unionByName(many))
+    live = every.groupBy("run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("own").alias("owned")).where("lo < hi and owned").select("run")
+    return every.join(live, "run").select("x", "run").distinct()
 
 
 def _matrix(sketches: pa.Array, size: int = SKETCH) -> np.ndarray:
