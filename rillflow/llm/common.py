@@ -7,10 +7,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of the membership filters: as many as ``BITS_EACH`` for every key, between these
@@ -20,6 +23,8 @@ LEAST_BITS, FILTER_BITS, BITS_EACH = 16, 24, 16
 HOT_SHARE = 1 / 2000
 #: Bytes that an Arrow batch to a Python worker holds at most (or one row).
 BATCH_BYTES = 4 << 20
+#: Links that are merged at once in a task, before the first shuffle of components.
+LINKS = 1 << 18
 
 
 @cache
@@ -60,13 +65,24 @@ def _small_batches(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read that: cuts the lineage, and lost executors lose nothing."""
-    spark = df.sparkSession
+def cut(df: DataFrame, **totals: Column) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that: cuts the lineage, and lost executors lose nothing.
+
+    The rows, and ``totals``, are counted while they are written; :func:`total` has them.
+    """
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     with _small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in totals.items()]).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rf_totals = seen.get
+    return out
+
+
+def total(df: DataFrame, name: str = "rows"):
+    """What :func:`cut` counted of the frame that it returned: no job of its own.  The rows of other frames are counted now."""
+    totals = getattr(df, "rf_totals", None)
+    return totals[name] if totals else df.count()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,18 +145,23 @@ def gapless(df: DataFrame, group: list[str], by: list[str], out: str, total: int
     return joined.withColumn(out, F.col(out) + F.col(off)).drop(b, off)
 
 
+def narrowed(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` without most of those whose key is not in ``ids`` (a cut frame): for a join that drops the others."""
+    bits = filter_bits(total(ids))
+    return passing(df, key, membership_filter(ids, key, bits), bits)
+
+
 def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (a cut frame); wide rows that are not are dropped before any shuffle."""
-    bits = filter_bits(ids.count())
-    return passing(df, key, membership_filter(ids, key, bits), bits).join(ids.select(key).distinct(), key, "left_semi")
+    return narrowed(df, key, ids).join(ids.select(key), key, "left_semi")
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids`` (a cut frame); rows that a bitmap clears are not shuffled."""
-    bits = filter_bits(ids.count())
+    bits = filter_bits(total(ids))
     bitmap = membership_filter(ids, key, bits)
     clear = passing(df, key, bitmap, bits, negate=True)
-    doubtful = passing(df, key, bitmap, bits).join(ids.select(key).distinct(), key, "left_anti")
+    doubtful = passing(df, key, bitmap, bits).join(ids.select(key), key, "left_anti")
     return clear.unionByName(doubtful.select(clear.columns))
 
 
@@ -157,13 +178,39 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, t
     return by_task.unionByName(rest.select(by_task.columns))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every ``LINKS`` links as links to the least id that they lead to among themselves: one a node at most."""
+
+    def merged(links: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, ends = np.unique(np.concatenate([np.asarray(x.column(k), np.int64) for k in ("a", "b") for x in links]), return_inverse=True)
+        a, b = np.split(ends, 2)
+        root = np.arange(len(ids))
+        while (apart := root[a] != root[b]).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root[root] != root).any():
+                root = root[root]
+        far = root != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= LINKS:
+            yield merged(held)
+            held = []
+    if held:
+        yield merged(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)`` links between long ids: rows ``(node, label)``, label the least id.
 
-    Large-star and small-star steps alternate until nothing changes.  A star step
-    is a grouped minimum and a join on the node, so a node of any degree is
-    combined before the shuffle and its rows can be split; each round is cut into
-    the checkpoint folder, and no links reach the driver.
+    Links are merged within tasks first, and a small graph is done then.  Large-star
+    and small-star steps alternate until nothing changes.  A star step is a grouped
+    minimum and a join on the node, so a node of any degree is combined before the
+    shuffle and its rows can be split; each round is cut into the checkpoint folder,
+    and no links reach the driver.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -177,11 +224,13 @@ def components(edges: DataFrame) -> DataFrame:
             moved = linked.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
         return moved.where("a <> b").distinct()
 
-    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    signed = lambda e: cut(e, sign=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    sign = lambda e: (total(e), total(e, "sign"))
+    merged = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
+    now = signed(merged.distinct().mapInArrow(_forest, "a long, b long"))
     before = sign(now)
     while before[0]:
-        now = cut(star(star(now, True), False))
+        now = signed(star(star(now, True), False))
         if (after := sign(now)) == before:
             break
         before = after

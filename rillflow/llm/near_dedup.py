@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import components, cut, join_counted, only, without
+from rillflow.llm.common import components, cut, join_counted, narrowed, total, without
 from rillflow.llm.words import U, Words, combine, mix, shingles, slices
 
 #: Sets of at most so many shingles are retained whole; those too large for a partner of that size are in lists by runs.
@@ -302,7 +302,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = cut(texts.mapInArrow(_sketch(width, percent), "doc_id long, n long, whole binary, low array<long>, runs array<long>, sketch binary"))
     filled = sketched.where("n > 0 and doc_id is not null")
     classes = cut(filled.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("rep < last"))
-    member = cut(join_counted(filled.select("doc_id", "whole"), classes, ["whole"], "size", sketched.count()).where("doc_id <> rep").select("doc_id", "whole", "rep").distinct())
+    member = cut(join_counted(filled.select("doc_id", "whole"), classes, ["whole"], "size", total(sketched)).where("doc_id <> rep").select("doc_id", "whole", "rep").distinct())
     # an id with several texts may stand for one of them and not for another
     row = F.struct("doc_id", "whole").alias("row")
     known = without(filled.select("*", row), "row", cut(member.select(row))).drop("row")
@@ -310,7 +310,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = known.select("doc_id", "n", F.substring("sketch", 1, 4 * HUB_SKETCH).alias("sketch"))
 
     def exact(guessed: DataFrame) -> DataFrame:
-        full = only(texts, "doc_id", _ends(guessed))
+        full = narrowed(texts, "doc_id", _ends(guessed))
         found = guessed.join(full.toDF("x", "tx"), "x").join(full.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
         return cut(found.mapInArrow(_verify(width, percent), "x long, y long").toDF("a", "b"))
 
@@ -320,7 +320,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = at.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("x").alias("y"), F.col("label").alias("other")), F.xxhash64(F.pmod("run", F.lit(HUBS)), "x", F.lit(turn))).alias("hub")).where("lo <> hi")
         pairs = at.join(hubs.select("run", "hub.*"), "run").where("label <> other")
         pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        near = only(sketches, "doc_id", _ends(pairs))
+        near = narrowed(sketches, "doc_id", _ends(pairs))
         both = pairs.join(near.toDF("x", "nx", "sx"), "x").join(near.toDF("y", "ny", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
         edges = edges.unionByName(exact(cut(both.mapInArrow(_estimate(percent), "x long, y long"))))
         label = components(edges)
@@ -332,7 +332,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj")))
     dealt = cut(members.select("run", "x", "label", "own", F.inline(meets)))
     keys = cut(dealt.groupBy("x").agg(F.collect_set("run").alias("keys")))
-    payload = only(known.select(F.col("doc_id").alias("x"), "n", "sketch"), "x", keys).join(keys, "x").dropDuplicates(["x"])
+    payload = narrowed(known.select(F.col("doc_id").alias("x"), "n", "sketch"), "x", keys).join(keys, "x").dropDuplicates(["x"])
     wide = dealt.join(payload, "x")
     sorted_ = wide.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "n")
     guessed = cut(sorted_.mapInArrow(_blocks(percent), "x long, y long").distinct())

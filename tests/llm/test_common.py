@@ -1,6 +1,8 @@
 """Shared helpers: joins with hot keys, filters of bounded size, tables in the shared folder."""
 
 import os
+import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,47 @@ def test_cluster_needs_a_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Cluster())
+
+
+def jobs(spark, work):
+    """The number of Spark jobs that ``work`` runs."""
+    sc, group = spark.sparkContext, str(uuid.uuid4())
+    sc.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    links = [(k, k + 7) for k in range(0, 4000, 7)] + [(rnd.randrange(10_000, 20_000), rnd.randrange(10_000, 20_000)) for _ in range(4000)] + [(30_000, 30_000 + k) for k in range(3000)]
+    rnd.shuffle(links)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: top(x) for a, b in links if a != b for x in (a, b)}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = common.components(edges).collect()
+    assert len(got) == len(want) and {r.node: r.label for r in got} == want
+    assert common.components(edges.limit(0)).count() == 0
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    """Each job and plan costs the driver memory: a path of 600 nodes took 103 jobs where only star steps merged it."""
+    path = common.cut(spark.range(600).selectExpr("id as a", "id + 1 as b"))
+    assert jobs(spark, lambda: common.components(path)) <= 16
+
+
+def test_cut_counts(spark):
+    frame = common.cut(spark.range(10), high=F.max("id"))
+    assert common.total(frame) == 10 and common.total(frame, "high") == 9 and common.total(frame.limit(3)) == 3
+    assert common.total(common.cut(spark.range(0))) == 0
