@@ -152,7 +152,8 @@ def _list_keys(known: DataFrame, percent: int) -> DataFrame:
     """Distinct ``x, run`` of the lists with two representatives or more, one of them in the list's own band.
 
     A list without such a one has only pairs that meet in the band below, too.  Most lists
-    have one member, so what is left is a small part.
+    have one member, so what is left is a small part; a bitmap drops most of the others
+    before they are shuffled a second time.
     """
     whole = known.where(F.col("n") <= SMALL).select(F.col("doc_id").alias("x"), "n", "low")
     # at most BUCKETS rows, whatever the input
@@ -162,8 +163,8 @@ def _list_keys(known: DataFrame, percent: int) -> DataFrame:
     few = whole.mapInArrow(_rarest(counts, percent), "x long, run long, own boolean")
     many = known.select(F.col("doc_id").alias("x"), F.explode("runs").alias("run"), F.lit(True).alias("own"))
     every = cut(few.unionByName(many))
-    live = every.groupBy("run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("own").alias("owned")).where("lo < hi and owned").select("run")
-    return every.join(live, "run").select("x", "run").distinct()
+    live = cut(every.groupBy("run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("own").alias("owned")).where("lo < hi and owned").select("run"))
+    return narrowed(every, "run", live).join(live, "run").select("x", "run").distinct()
 
 
 def _matrix(sketches: pa.Array, size: int = SKETCH) -> np.ndarray:
